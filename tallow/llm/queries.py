@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallow.llm import exact_dedup, language, packing, simhash, suffix_dedup
+from tallow.llm import exact_dedup, html_extract, language, license_scan, packing, piece_sampling, quality_model, quality_rules, simhash, suffix_dedup
 from tallow.llm.common import table
 
 
@@ -19,6 +19,26 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -34,8 +54,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1,
     "op2_harmonic_packing": op2,
+    "op3_piece_sampling": op3,
+    "op4_html_extraction": op4,
+    "op5_quality_classifier": op5,
+    "op6_quality_rules": op6,
+    "op7_license_scan": op7,
     "op8_exact_dedup": op8,
     "op9_simhash": op9,
     "op10_language_id": op10,
 }
-SQL: dict[str, str] = {"op8_exact_dedup": exact_dedup.SQL}
+SQL: dict[str, str] = {"op6_quality_rules": quality_rules.SQL, "op7_license_scan": license_scan.SQL, "op8_exact_dedup": exact_dedup.SQL}
