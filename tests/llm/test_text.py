@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from tallow.llm import html_extract, language, license_scan, packing, piece_sampling, quality_model, quality_rules
@@ -54,9 +55,11 @@ def test_packing(spark):
     assert packing.pack(frame(spark, ODD).limit(0), BPE).count() == 0
 
 
-def test_packing_encoder_is_the_tokenizer():
-    tok, enc, rng = Tokenizer.from_file(BPE), packing.Encoder(BPE), random.Random(2)
-    bits = ["a", "Word", " ", "  ", "\n", "\t", "'s", "'", "1", "23", "é", "!", " ", " ", "\x1c", "😀", "don't", "\x85"]
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "byte_bpe_50k.tiktoken"])
+def test_packing_encoder_is_the_tokenizer(file):
+    tok, enc, rng = Tokenizer.from_file(BPE), packing.Encoder(public_tokenizers.path(file)), random.Random(2)
+    tok.encode_special_tokens = True
+    bits = ["a", "Word", " ", "  ", "\n", "\t", "'s", "'", "1", "23", "é", "!", " ", " ", "\x1c", "😀", "don't", "\x85", "\xa0", "\u3000", "\u200b", "²", "ǅ", "<|endoftext|>", "\r\n"]
     for _ in range(1500):
         t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
         assert np.frombuffer(enc(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
