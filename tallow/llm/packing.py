@@ -37,7 +37,7 @@ from tallow.llm.common import materialize
 CAPACITY = 1024
 SMALLEST = 32
 END_ID = 0
-CACHE = 400_000
+CACHE = 150_000
 FAN_IN = 256
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: How byte-level vocabularies of this kind split a text (fixed value).

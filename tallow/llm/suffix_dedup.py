@@ -39,8 +39,8 @@ from tallow.llm.common import materialize
 
 LENGTH = 400
 GRAM = 64
-CHUNK = 1 << 21  # bytes hashed at once
-BLOCK = 1 << 20  # bytes sorted at once
+CHUNK = 1 << 19  # bytes hashed at once
+BLOCK = 1 << 19  # bytes sorted at once
 HOT = 4096
 DEPTH = 192  # doubling from 6; with a second rank 63 further on 255
 SECOND = 141  # 255 + 141 = 396
