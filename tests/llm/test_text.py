@@ -118,6 +118,56 @@ def test_samples_without_replacement():
         assert abs(second[s] / n - q) < 0.05
 
 
+def segmentations(pieces, text):
+    """Every way to spell the text: {ids: log weight}, by recursion over the pieces."""
+    if not text:
+        return {(): 0.0}
+    found = {}
+    for j in range(1, len(text) + 1):
+        state = 0
+        for c in text[:j]:
+            state = int(pieces.step(np.array([state]), np.array([ord(c)]))[0])
+            if not state:
+                break
+        own = pieces.piece[state] if state else -1
+        if own < 0 and j > 1:
+            continue
+        spelled = text[0].encode()
+        head, w = ((int(own),), pieces.mass[state]) if own >= 0 else (tuple(pieces.bytes[b] for b in spelled), pieces.rare * len(spelled))
+        for rest, x in segmentations(pieces, text[j:]).items():
+            found[head + rest] = w + x
+    return found
+
+
+def test_all_segmentations_by_brute_force():
+    sampler = piece_sampling.Sampler(PIECES, 5000)
+    for text in ("then", "so it", "\U0001f9a5é", "aaaa", "a", "\x00b"):
+        ways = {}
+        units = piece_sampling._UNIT.findall("▁" + text.replace(" ", "▁"))
+        for parts in itertools.product(*(segmentations(sampler.pieces, u).items() for u in units)):
+            ways[tuple(itertools.chain.from_iterable(p[0] for p in parts))] = sum(p[1] for p in parts)
+        total = np.logaddexp.reduce(list(ways.values()))
+        got = sampler(5, text)
+        assert len(got) == len(ways) and {tuple(g[0].tolist()) for g in got} == set(ways)
+        assert all(abs(g[1] - (ways[tuple(g[0].tolist())] - total)) < 1e-9 for g in got)
+        scores = [g[2] for g in got]
+        assert scores == sorted(scores, reverse=True)
+
+
+def test_lattices_of_long_units_and_of_any_company():
+    pieces = piece_sampling.vocabulary(PIECES)
+    units = ["▁" + "abcde" * 200, "▁the", "▁" + "é😀" * 40]
+    both = piece_sampling.Lattices(pieces, units)
+    heads = both.first[:-1]
+    assert np.allclose(np.add.reduceat(np.exp(both.log), heads), 1, atol=1e-9)
+    sampler, rows = piece_sampling.Sampler(PIECES, 3), [3, 4, 5, 6]
+    texts = ["abcde" * 200 + " the end", None, "", "the cat sat"]
+    together = list(sampler.many(rows, texts))
+    for row, text, got in zip(rows, texts, together, strict=True):
+        alone = sampler(row, text)
+        assert [(g[0].tolist(), *g[1:]) for g in got] == [(a[0].tolist(), *a[1:]) for a in alone]
+
+
 def test_samples_are_distinct_and_decode(spark):
     df = frame(spark, [*ODD, (20, "ab"), (21, "The  quick brown\nfox — ok")])
     rows = piece_sampling.sample_segmentations(df, PIECES, k=4)
