@@ -66,15 +66,49 @@ def max_archive_size(n: int) -> int:
     return archive_size(blocks, 0) + blocks * round_up(BLOCK + BLOCK // 4, 16)
 
 
+def _parts(items: list, blocks: list[int]) -> Iterator[list]:
+    """Consecutive items of MANY blocks together, or of one item."""
+    part, held = [], 0
+    for item, n in zip(items, blocks, strict=True):
+        if part and held + n > MANY:
+            yield part
+            part, held = [], 0
+        part.append(item)
+        held += n
+    if part:
+        yield part
+
+
 def compress(data: bytes, bits: int = 10) -> bytes:
-    raw = np.frombuffer(data, np.uint8)
-    pdf = quantize_counts(np.bincount(raw, minlength=256), check_prob_bits(bits))
-    blocks, sizes = split_blocks(raw)
+    return compress_all([data], bits)[0]
+
+
+def compress_all(many: list[bytes], bits: int = 10) -> list[bytes]:
+    """One archive for each, with its own table. Blocks of several inputs are coded side by side."""
+    check_prob_bits(bits)
+    return [x for part in _parts(many, [-(-len(d) // BLOCK) for d in many]) for x in _compress_part(part, bits)]
+
+
+def _compress_part(many: list[bytes], bits: int) -> Iterator[bytes]:
+    raws = [np.frombuffer(d, np.uint8) for d in many]
+    pdfs = [quantize_counts(np.bincount(r, minlength=256), bits) for r in raws]
+    split = [split_blocks(r) for r in raws]
+    own = [len(b) for b, _ in split]
+    blocks, sizes = (np.concatenate([x[i] for x in split]) for i in (0, 1))
+    table = np.repeat(np.arange(len(many)), own)
+    weights = np.stack(pdfs)
     states, words = [np.zeros((0, STATES), np.int64)], []
     for i in range(0, len(blocks), MANY):
-        s, w = encode_blocks(blocks[i : i + MANY], sizes[i : i + MANY], pdf, bits)
+        s, w = encode_blocks(blocks[i : i + MANY], sizes[i : i + MANY], weights[table[i : i + MANY]], bits)
         states.append(s)
         words += w
+    coded, a = np.concatenate(states), 0
+    for raw, pdf, n in zip(raws, pdfs, own, strict=True):
+        yield _assemble(len(raw), pdf, coded[a : a + n], words[a : a + n], sizes[a : a + n], bits)
+        a += n
+
+
+def _assemble(n_raw: int, pdf: np.ndarray, states: np.ndarray, words: list[np.ndarray], sizes: np.ndarray, bits: int) -> bytes:
     counts = np.array([len(w) for w in words], np.int64)
     room = -(-counts // ALIGN) * ALIGN
     prefix, total = np.cumsum(room) - room, int(room.sum())
@@ -83,28 +117,47 @@ def compress(data: bytes, bits: int = 10) -> bytes:
     body = np.zeros(total, "<u2")
     for at, w in zip(prefix, words, strict=True):
         body[at : at + len(w)] = w
-    head = struct.pack("<8I", MAGIC, len(words), len(raw), total, bits, 0, 0, 0)
-    return head + pdf.astype("<u2").tobytes() + np.concatenate(states).astype("<u4").tobytes() + index.tobytes() + body.tobytes()
+    head = struct.pack("<8I", MAGIC, len(words), n_raw, total, bits, 0, 0, 0)
+    return head + pdf.astype("<u2").tobytes() + states.astype("<u4").tobytes() + index.tobytes() + body.tobytes()
 
 
 def decompress(blob: bytes) -> bytes:
-    h = read_header(blob)
-    pdf = np.frombuffer(blob, "<u2", 256, HEADER_BYTES).astype(np.int64)
-    if h.blocks and pdf.sum() != 1 << h.prob_bits:
-        raise ValueError("the weights do not sum to the precision")
-    at = HEADER_BYTES + 512
-    states = np.frombuffer(blob, "<u4", STATES * h.blocks, at).reshape(-1, STATES)
-    at += 4 * STATES * h.blocks
-    index = np.frombuffer(blob, "<u4", 2 * h.blocks, at).reshape(-1, 2).astype(np.int64)
-    body = np.frombuffer(blob, "<u2", h.words, at + 8 * round_up(h.blocks, 2))
-    sizes, counts, prefix = index[:, 0] >> 16, index[:, 0] & 0xFFFF, index[:, 1]
-    out = []
-    for i in range(0, h.blocks, MANY):
+    return decompress_all([blob])[0]
+
+
+def decompress_all(blobs: list[bytes]) -> list[bytes]:
+    """The bytes of each archive. Blocks of several archives of the same precision are decoded side by side."""
+    heads, out = [read_header(b) for b in blobs], {}
+    for bits in sorted({h.prob_bits for h in heads}):
+        own = [i for i, h in enumerate(heads) if h.prob_bits == bits]
+        for part in _parts(own, [heads[i].blocks for i in own]):
+            out.update(zip(part, _decompress_part([blobs[i] for i in part], [heads[i] for i in part], bits), strict=True))
+    return [out[i] for i in range(len(blobs))]
+
+
+def _decompress_part(blobs: list[bytes], heads: list[Header], bits: int) -> Iterator[bytes]:
+    pdfs, states, index, words = [], [], [], []
+    for blob, h in zip(blobs, heads, strict=True):
+        pdf = np.frombuffer(blob, "<u2", 256, HEADER_BYTES).astype(np.int64)
+        if h.blocks and pdf.sum() != 1 << bits:
+            raise ValueError("the weights do not sum to the precision")
+        at = HEADER_BYTES + 512
+        pdfs.append(pdf)
+        states.append(np.frombuffer(blob, "<u4", STATES * h.blocks, at).reshape(-1, STATES))
+        at += 4 * STATES * h.blocks
+        index.append(own := np.frombuffer(blob, "<u4", 2 * h.blocks, at).reshape(-1, 2).astype(np.int64))
+        body = np.frombuffer(blob, "<u2", h.words, at + 8 * round_up(h.blocks, 2))
+        words += [body[p : p + c] for p, c in zip(own[:, 1], own[:, 0] & 0xFFFF, strict=True)]
+    state, sizes, weights = np.concatenate(states), np.concatenate(index)[:, 0] >> 16, np.stack(pdfs)
+    table, rows = np.repeat(np.arange(len(heads)), [h.blocks for h in heads]), []
+    for i in range(0, len(words), MANY):
         j = slice(i, i + MANY)
-        words = [body[p : p + c] for p, c in zip(prefix[j], counts[j], strict=True)]
-        rows = decode_blocks(states[j], words, sizes[j], pdf, h.prob_bits)
-        out += [r[:n].tobytes() for r, n in zip(rows, sizes[j], strict=True)]
-    return b"".join(out)
+        made = decode_blocks(state[j], words[j], sizes[j], weights[table[j]], bits)
+        rows += [r[:n].tobytes() for r, n in zip(made, sizes[j], strict=True)]
+    a = 0
+    for h in heads:
+        yield b"".join(rows[a : a + h.blocks])
+        a += h.blocks
 
 
 def _map(df: DataFrame, column: str, out: str, f) -> DataFrame:
@@ -112,7 +165,9 @@ def _map(df: DataFrame, column: str, out: str, f) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [None if x is None else f(x) for x in b.column(b.num_columns - 1).to_pylist()]
+            given = b.column(b.num_columns - 1).to_pylist()
+            found = iter(f([x for x in given if x is not None]))
+            made = [None if x is None else next(found) for x in given]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(made, pa.binary())], [*kept, out])
 
     types = [f"`{n}` {t}" for n, t in df.select(*(F.col(f"`{c}`") for c in kept)).dtypes]
@@ -123,11 +178,11 @@ def _map(df: DataFrame, column: str, out: str, f) -> DataFrame:
 def encode_column(df: DataFrame, column: str, out: str = "archive", bits: int = 10) -> DataFrame:
     """Adds one archive per row, each with its own table; null stays null. Narrow."""
     check_prob_bits(bits)
-    return _map(df, column, out, lambda x: compress(x, bits))
+    return _map(df, column, out, lambda x: compress_all(x, bits))
 
 
 def decode_column(df: DataFrame, column: str = "archive", out: str = "data") -> DataFrame:
-    return _map(df, column, out, decompress)
+    return _map(df, column, out, decompress_all)
 
 
 def header_columns(df: DataFrame, column: str = "archive") -> DataFrame:

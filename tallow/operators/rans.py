@@ -13,7 +13,7 @@ STEPS = BLOCK // STATES
 
 
 def cumulative(pdf: np.ndarray) -> np.ndarray:
-    return np.cumsum(pdf) - pdf
+    return np.cumsum(pdf, -1) - pdf
 
 
 def split_blocks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -26,9 +26,10 @@ def split_blocks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode_blocks(blocks: np.ndarray, sizes: np.ndarray, pdf: np.ndarray, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Final states [blocks, 32] and the words of each block."""
+    """Final states [blocks, 32] and the words of each block; pdf has one row of 256 weights per block."""
     n = len(blocks)
-    weight, start = pdf.astype(np.int64), cumulative(pdf).astype(np.int64)
+    weight, start = pdf.astype(np.int64).ravel(), cumulative(pdf).astype(np.int64).ravel()
+    row = 256 * np.arange(n)[:, None]
     state = np.full((n, STATES), STATE_MIN, np.int64)
     words, written = np.zeros((n, STEPS, STATES), np.uint16), np.zeros((n, STEPS, STATES), bool)
     lane = np.arange(STATES)
@@ -36,7 +37,7 @@ def encode_blocks(blocks: np.ndarray, sizes: np.ndarray, pdf: np.ndarray, bits:
         valid = step * STATES + lane < sizes[:, None]
         if not valid.any():
             break
-        sym = blocks[:, step]
+        sym = row + blocks[:, step]
         p, c = weight[sym], start[sym]
         emit = valid & (state >= p << (STATE_BITS - bits))
         words[:, step], written[:, step] = state & 0xFFFF, emit
@@ -47,10 +48,10 @@ def encode_blocks(blocks: np.ndarray, sizes: np.ndarray, pdf: np.ndarray, bits:
 
 
 def decode_blocks(states: np.ndarray, words: list[np.ndarray], sizes: np.ndarray, pdf: np.ndarray, bits: int) -> np.ndarray:
-    """Bytes [blocks, 4096]. Raises ValueError unless every word is used and every state ends where it began."""
+    """Bytes [blocks, 4096]; pdf has one row per block. Raises ValueError unless every word is used and every state ends where it began."""
     n = len(states)
-    sym_of = np.repeat(np.arange(256, dtype=np.uint8), pdf)
-    weight, start = pdf.astype(np.int64), cumulative(pdf).astype(np.int64)
+    sym_of = np.repeat(np.tile(np.arange(256, dtype=np.uint8), n), pdf.ravel())
+    weight, start = pdf.astype(np.int64).ravel(), cumulative(pdf).astype(np.int64).ravel()
     counts = np.array([len(w) for w in words], np.int64)
     stream = np.zeros((n, max(1, int(counts.max(initial=0)))), np.int64)
     for row, w in zip(stream, words, strict=True):
@@ -60,8 +61,9 @@ def decode_blocks(states: np.ndarray, words: list[np.ndarray], sizes: np.ndarray
     for step in range(int(-(-sizes.max(initial=0) // STATES)) - 1, -1, -1):
         valid = step * STATES + lane < sizes[:, None]
         slot = state & ((1 << bits) - 1)
-        sym = sym_of[slot]
+        sym = sym_of[(rows << bits) + slot]
         out[:, step] = np.where(valid, sym, 0)
+        sym = 256 * rows + sym
         state = np.where(valid, weight[sym] * (state >> bits) + slot - start[sym], state)
         pull = valid & (state < STATE_MIN)
         used = pull.sum(1)
