@@ -20,17 +20,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallow.llm.common import materialize
 from tallow.llm.components import connected_components
+from tallow.llm.fingerprint import fingerprint_of, shingle_hashes
+from tallow.llm.similarity import SIMILARITY, similar_links, sketches
 
 SHINGLE = 3
-SEED = 42
+NEAR_SHINGLE = 5
 MAX_BITS = 2
 SEGMENTS = 16
 SEGMENT_BITS = 4
@@ -39,17 +39,7 @@ ONE_OFF_BITS = 32  # 8 more: 15 * 2 / 16 < 2
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    words = (text or b"").lower().split()  # bytes: A-Z and the six ASCII white-space characters only
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(p, SEED) for p in parts), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):
-        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little", signed=True)
+    return fingerprint_of(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -78,10 +68,11 @@ def pigeonring_links(distinct: DataFrame) -> DataFrame:
     return groups.select(F.explode(F.expr(pairs)).alias("p")).select("p.a", "p.b").distinct()
 
 
-def components_of(printed: DataFrame) -> DataFrame:
-    """(_id, fp), read from files -> (fp, component_id) for each distinct fingerprint."""
+def components_of(printed: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(_id, fp), read from files -> (fp, component_id) for each distinct fingerprint. `more`: further links (a, b)."""
     first = materialize(printed.groupBy("fp").agg(F.min("_id").alias("_first")))
-    labels = connected_components(pigeonring_links(first.select("fp")))
+    links = pigeonring_links(first.select("fp"))
+    labels = connected_components(links if more is None else links.unionAll(more))
     linked = materialize(first.join(labels.withColumnRenamed("node", "fp"), "fp"))
     lowest = materialize(linked.groupBy("label").agg(F.min("_first").alias("component_id")))
     joined = linked.join(lowest, "label").select("fp", "component_id")
@@ -96,9 +87,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The documents that stay, with all their columns: the one of smallest id in each component."""
-    printed = materialize(fingerprints(docs, id_col, text_col, shingle))
-    rows = printed.join(components_of(printed), "fp")
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """One row per document: (_id, component_id). Linked are fingerprints at most 2 bits apart, and texts whose sets of
+    shingles have the similarity (a fraction) or more. Texts without words are linked by their fingerprint alone."""
+    sketched = materialize(sketches(docs, id_col, text_col, shingle))
+    links = similar_links(docs, sketched, id_col, text_col, shingle, similarity)
+    printed = sketched.select("_id", "fp")
+    return printed.join(components_of(printed, links), "fp").select("_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """The documents that stay, with all their columns: the one of smallest id in each component, and null ids."""
+    rows = similar_groups(docs, id_col, text_col, shingle, similarity)
     gone = materialize(rows.where("_id <> component_id").select(F.col("_id").alias("_gone")).distinct())
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")

@@ -102,6 +102,71 @@ def test_simhash_cases(spark):
     assert simhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def jaccard_at_least(a, b, part=4, whole=5):
+    n = len(a & b)
+    return whole * n >= part * (len(a) + len(b) - n)
+
+
+def brute_similar(rows, k=5):
+    words = [(t or "").lower().encode().split() for _, t in rows]
+    sets = [{b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set() for w in words]
+    fps = [brute_fingerprint(t, k) for _, t in rows]
+    ids, root = [i for i, _ in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 2 or (sets[i] and sets[j] and jaccard_at_least(sets[i], sets[j])):
+                root[find(i)] = find(j)
+    low = {}
+    for i, d in enumerate(ids):
+        low[find(i)] = min(low.get(find(i), d), d)
+    return {(d, low[find(i)]) for i, d in enumerate(ids)}
+
+
+def edited(rng, words, edits):
+    out = list(words)
+    for i in rng.sample(range(len(out)), edits):
+        out[i] = f"new{rng.randint(0, 10**6)}"
+    return " ".join(out)
+
+
+def test_similar_groups_by_brute_force(spark):
+    rng = random.Random(11)
+    rows, bases = [], [[f"w{rng.randint(0, 5000)}" for _ in range(n)] for n in (60, 120, 250, 600, 1500)]
+    for base in bases:
+        for share in (0, 0.004, 0.012, 0.018, 0.03, 0.06):
+            rows += [edited(rng, base, int(share * len(base))) for _ in range(3)]
+    crowd = [f"c{rng.randint(0, 5000)}" for _ in range(300)]
+    rows += [edited(rng, crowd, rng.randint(0, 5)) for _ in range(150)]
+    rows += [" ".join(f"u{rng.randint(0, 5000)}" for _ in range(rng.randint(1, 200))) for _ in range(60)]
+    rows = list(enumerate(rows))
+    got = {tuple(r) for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert got == brute_similar(rows)
+
+
+def test_similar_groups_of_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = {tuple(r) for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert got == brute_similar(rows)
+
+
+def test_similar_cases(spark):
+    long = " ".join(f"x{i % 7001}" for i in range(60_000))
+    near = " ".join(f"x{i % 7001}" for i in range(59_000)) + " end"
+    base = [f"y{i}" for i in range(100)]
+    rows = [(9, long), (8, near), (7, " ".join(base)), (7, " ".join(base)), (7, "other words here"), (6, " ".join([*base, "z"])), (None, " ".join(base[12:])), (5, None), (4, "")]
+    got = sorted(((r._id, r.component_id) for r in simhash.similar_groups(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(9, 8), (8, 8), (7, 6), (7, 6), (7, 7), (6, 6), (None, None), (5, 4), (4, 4)], key=str)
+    kept = simhash.drop_near_copies(frame(spark, rows))
+    assert kept.columns == ["doc_id", "text", "_row", "keep_id", "n_chars"]
+    assert simhash.similar_groups(frame(spark, rows).limit(0)).count() == 0
+
+
 def brute_repeats(texts, length=400):
     seen = {}
     for d, t in enumerate(texts):
