@@ -21,10 +21,10 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "x", 1, "en", None) for i, t in rows], "doc_id bigint, text string, _row string, worker int, lang string, source string")
 
 
-def packed(df):
+def packed(df, rows=None):
     tok = Tokenizer.from_file(BPE)
     tok.encode_special_tokens = True
-    rows = packing.pack(df, BPE).collect()
+    rows = packing.pack(df, BPE).collect() if rows is None else rows
     want = {}
     for r in df.select("doc_id", "text").collect():
         want.setdefault(r.doc_id, []).append([*tok.encode(r.text or "", add_special_tokens=False).ids, 0])
@@ -34,6 +34,7 @@ def packed(df):
         ids = next(x for x in want[r.doc_id] if len(x) == r.doc_tokens)
         assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
         cover.setdefault(r.doc_id, []).extend(range(r.start, r.start + r.length))
+    assert set(cover) == set(want)
     for d, docs in want.items():
         assert sorted(cover[d]) == sorted(itertools.chain.from_iterable(range(len(x)) for x in docs))
     padding = total = 0
