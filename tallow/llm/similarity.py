@@ -10,6 +10,10 @@ own. Every candidate is then decided by the exact similarity of its whole sets o
 
 Nothing is gathered per key but those leaders, in aggregates that combine before the shuffle; a hot key is a skewed
 join, both of whose sides are exchanged, that Spark splits. Sets are made only for texts that are in a candidate pair.
+
+Defined cases: A-Z count as a-z; one to four words are one shingle; a null or empty text, or one without words, has no
+keys and no links here; rows with a null id are not compared; equal texts have one key and meet nothing of their own;
+rows that repeat an id are compared as their texts differ; an empty table gives no links; other columns are not read.
 """
 
 from __future__ import annotations
