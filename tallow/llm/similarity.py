@@ -2,14 +2,21 @@
 fingerprints can be searched by: at 0.8 two fingerprints of 64 bits differ in 4 to 14 bits, where pigeonring filtering
 finds no chain longer than one segment of 4 bits and so prunes nothing.
 
-Candidates: 16 bands of 9 minimum hashes give each text 32 keys, one of the first 5 of each band and one of all 9. A
-pair at 0.8 shares one of the first sort with probability 1 - (1 - 0.8^5)^16 = 0.998. Texts of a key are held against
-up to 4 leaders of it (the smallest text key in each of 4 classes of a hash), so a crowd costs a fixed number of pairs
-per text; the smallest and largest of all are leaders, so up to three texts of a key always meet, and the longer keys break a crowd into small ones with leaders of their
-own. Every candidate is then decided by the exact similarity of its whole sets of shingles.
-
-Nothing is gathered per key but those leaders, in aggregates that combine before the shuffle; a hot key is a skewed
-join, both of whose sides are exchanged, that Spark splits. Sets are made only for texts that are in a candidate pair.
+Links are sought twice. First by leaders: 16 bands of 9 minimum hashes give each text 32 keys, one of the first 5 of
+each band and one of all 9, and texts of a key are held against up to 5 leaders of it (the smallest text key in each of
+4 classes of a hash, and the largest). That joins crowds of near copies at a fixed number of pairs per text, but it is
+no proof that other pairs are below `similarity`.
+
+Then exactly, between the groups so found: shingles are put in one order, rarest first, and two sets can only reach
+`similarity` if the head of the smaller (a ninth of it at 0.8) and the head of the larger (a fifth) share a shingle. Pairs
+that do, that are of different groups and that size and place of the shingle allow are candidates too. The order takes
+frequencies from a sample; any order gives the same links, a good one keeps a crowd's common shingles out of the heads.
+Every candidate of either sort is decided by the exact similarity of its whole sets of shingles.
+
+Nothing is gathered per key but the leaders, in aggregates that combine before the shuffle; a hot key is a skewed join,
+both of whose sides are exchanged, that Spark splits. A shingle common to one group only is dropped before any pair is
+formed, and pairs are formed only between groups. What two sets do not share flips bits of a parity map, so a pair whose
+maps differ in more bits than `similarity` allows shingles to differ is dropped before sets are made.
 
 Defined cases: A-Z count as a-z; one to four words are one shingle; a null or empty text, or one without words, has no
 keys and no links here; rows with a null id are not compared; equal texts have one key and meet nothing of their own;
@@ -26,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallow.llm.common import materialize
+from tallow.llm.components import connected_components
 from tallow.llm.fingerprint import fingerprint_of, shingle_hashes, text_key
 
 SIMILARITY = (4, 5)
@@ -33,6 +41,9 @@ BANDS = 16
 SHORT, LONG = 5, 9
 LEADERS = 4
 BLOCK = 1024
+SAMPLE = 32
+MOST_COMMON = 1 << 18
+PARITY_BITS = 1024
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(42)
 FACTORS = (_RNG.integers(0, 1 << 32, (BANDS * LONG, 1), np.uint32) | np.uint32(1)).astype(np.uint32)
@@ -109,9 +120,95 @@ def candidate_pairs(sketched: DataFrame) -> DataFrame:
     return met.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
 
 
+def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles met more than once in a sample of the texts, sorted, and how often. They only set the order of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(1):
+                kinds = np.unique(shingle_hashes(t.as_py(), shingle))
+                yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64))], ["kind"])
+
+    some = texts.where(f"pmod(xxhash64(_text), {SAMPLE}) = 0").mapInArrow(run, "kind bigint")
+    counts = some.groupBy("kind").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "kind").limit(MOST_COMMON).orderBy("kind").toArrow()
+    return counts.column("kind").to_numpy(), counts.column("n").to_numpy()
+
+
+def heads(n: int, similarity: tuple[int, int]) -> tuple[int, int]:
+    """Length of the head of a set of n as the smaller and as the larger of a pair."""
+    part, whole = similarity
+    return n + (-2 * part * n // (part + whole)) + 1, n + (-part * n // whole) + 1
+
+
+def _heads(texts: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """(_id, _text) -> (key, fp, n, short, head ARRAY<BIGINT>, odd ARRAY<BIGINT>): the rarest shingles of a text, in the
+    common order, and which of PARITY_BITS classes of shingles it holds an odd number of."""
+    kinds_known, often = _common(texts, shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t in b.column(1):
+                hashes = shingle_hashes(t.as_py(), shingle)
+                if not len(hashes):
+                    continue
+                fp, kinds = fingerprint_of(hashes), np.unique(hashes)
+                key, signed = text_key(kinds, fp), kinds.view(np.int64)
+                rank = np.zeros(len(kinds), np.int64)
+                if len(kinds_known):
+                    at = np.minimum(np.searchsorted(kinds_known, signed), len(kinds_known) - 1)
+                    rank = np.where(kinds_known[at] == signed, often[at], 0)
+                short, long = heads(len(kinds), similarity)
+                odd = np.bincount(signed & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1
+                rows.append((key, fp, len(kinds), short, signed[np.lexsort((signed, rank))[:long]], np.packbits(odd.astype(np.uint8)).view(np.int64)))
+            if rows:
+                key, fp, n, short, *lists = zip(*rows, strict=True)
+                columns = [pa.array(key, pa.int64()), pa.array(fp, pa.int64()), pa.array(n, pa.int32()), pa.array(short, pa.int32())]
+                columns += [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)], dtype=np.int32)), pa.array(np.concatenate(x))) for x in lists]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "fp", "n", "short", "head", "odd"])
+
+    return texts.mapInArrow(run, "key bigint, fp bigint, n int, short int, head array<bigint>, odd array<bigint>")
+
+
+def remaining_pairs(docs: DataFrame, links: DataFrame, id_col: str, text_col: str, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b), a < b: keys of all pairs that may reach the similarity and that `links` do not put in one group."""
+    part, whole = similarity
+    labels = materialize(connected_components(links).select(F.col("node").alias("fp"), "label"))
+    texts = _texts(docs, id_col, text_col).where("_id IS NOT NULL")
+    grouped = _heads(texts, shingle, similarity).join(labels, "fp", "left")
+    grouped = materialize(grouped.select("key", F.coalesce("label", "fp").alias("own"), "n", "short", "head", "odd"))
+    sizes = materialize(grouped.select("key", "own", "n", "short", "odd").dropDuplicates(["key"]))
+    rows = grouped.select("key", "short", F.posexplode("head").alias("pos", "kind")).selectExpr("key", "pos", "kind", "pos < short AS _short")
+    # Of use are shingles of two texts or more, one of them with the shingle in the head of a smaller set.
+    counts = rows.groupBy("kind").agg(F.count("*").alias("_n"), F.max("_short").alias("_some"))
+    shared = materialize(counts.where("_n > 1 AND _some").select("kind"))
+    rows = materialize(rows.select("key", "pos", "kind").join(shared, "kind").join(sizes.drop("odd"), "key"))
+    owners = rows.groupBy("kind", "own").agg(F.min(F.expr("pos - short")).alias("_least"))
+    x, y = (owners.select("kind", F.col("own").alias(o), F.col("_least").alias(f"_least_{o}")) for o in ("own_x", "own_y"))
+    groups = x.where("_least_own_x < 0").join(y, "kind").where("own_x <> own_y").select("kind", "own_x", "own_y")
+    x = rows.where("pos < short").select("kind", F.col("own").alias("own_x"), F.col("key").alias("key_x"), F.col("n").alias("n_x"), F.col("pos").alias("pos_x"))
+    y = rows.select("kind", F.col("own").alias("own_y"), F.col("key").alias("key_y"), F.col("n").alias("n_y"), F.col("pos").alias("pos_y"))
+    met = x.join(groups, ["kind", "own_x"]).join(y, ["kind", "own_y"])
+    fits = f"(n_x < n_y OR (n_x = n_y AND key_x < key_y)) AND {whole}L * n_x >= {part}L * n_y"
+    reach = f"{part + whole}L * least(n_x - pos_x, n_y - pos_y) >= {part}L * (n_x + n_y)"
+    met = materialize(met.where(f"{fits} AND {reach}").select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).distinct())
+    side = {s: sizes.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("odd").alias(f"odd_{s}")) for s in "ab"}
+    apart = "aggregate(zip_with(odd_a, odd_b, (p, q) -> bit_count(p ^ q)), 0, (p, q) -> p + q)"
+    near = met.join(side["a"], "a").join(side["b"], "b").where(f"{part + whole}L * {apart} <= {whole - part}L * (n_a + n_b)")
+    return near.select("a", "b")
+
+
 def similar_links(docs: DataFrame, sketched: DataFrame, id_col: str, text_col: str, shingle: int, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(a, b): fingerprints of linked texts. `sketched` is read from files. Rows with a null id are not compared."""
-    pairs = materialize(candidate_pairs(sketched))
+    """(a, b): fingerprints of linked texts. `sketched` is read from files. Rows with a null id are not compared. Not
+    every link is given, but enough for the groups of all."""
+    crowds = materialize(_decided(candidate_pairs(sketched), docs, sketched, id_col, text_col, shingle, similarity))
+    rest = remaining_pairs(docs, crowds, id_col, text_col, shingle, similarity)
+    return materialize(crowds.unionAll(_decided(rest, docs, sketched, id_col, text_col, shingle, similarity)))
+
+
+def _decided(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, id_col: str, text_col: str, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b): fingerprints of those pairs of keys that have the similarity."""
+    pairs = materialize(pairs)
     wanted = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
     ids = sketched.where("_id IS NOT NULL").join(wanted, "key").groupBy("key").agg(F.min("_id").alias("_id")).select(F.col("_id")).distinct()
     sets = materialize(_sets(_texts(docs, id_col, text_col).join(materialize(ids), "_id", "left_semi"), shingle))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -149,6 +150,22 @@ def test_similar_groups_by_brute_force(spark):
     assert got == brute_similar(rows)
 
 
+def test_similar_groups_in_a_crowd_below_the_similarity(spark):
+    rng, rows = random.Random(12), []
+    template = [f"t{i}" for i in range(794)]
+    for i in range(300):
+        own = [f"d{i}_{j}" for j in range(114)]
+        rows.append(" ".join([*template, *own]))
+        rows.append(" ".join([*template, *own[:30], *(f"e{i}_{j}" for j in range(84))]))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = brute_similar(rows)
+    sizes = Counter(c for _, c in want)
+    assert len(sizes) > 290 and set(sizes.values()) <= {2, 4}
+    got = {tuple(r) for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert got == want
+
+
 def test_similar_groups_of_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = {tuple(r) for r in simhash.similar_groups(frame(spark, rows)).collect()}
