@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tallow.llm.common import materialize
 from tallow.llm.components import connected_components
 from tallow.llm.fingerprint import fingerprint_of, shingle_hashes
-from tallow.llm.similarity import SIMILARITY, similar_links, sketches
+from tallow.llm.similarity import MARK, SIMILARITY, similar_links, sketches
 
 SHINGLE = 3
 NEAR_SHINGLE = 5
@@ -90,14 +90,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """One row per document: (_id, component_id). Linked are fingerprints at most 2 bits apart, and texts whose sets of
     shingles have the similarity (a fraction) or more. Texts without words are linked by their fingerprint alone."""
+    return _grouped(docs, id_col, text_col, shingle, similarity).select("_id", "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """(_id, mark, component_id)."""
     sketched = materialize(sketches(docs, id_col, text_col, shingle))
     links = similar_links(docs, sketched, id_col, text_col, shingle, similarity)
-    printed = sketched.select("_id", "fp")
-    return printed.join(components_of(printed, links), "fp").select("_id", "component_id")
+    printed = sketched.select("_id", "mark", "fp")
+    return printed.join(components_of(printed.select("_id", "fp"), links), "fp").select("_id", "mark", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """The documents that stay, with all their columns: the one of smallest id in each component, and null ids."""
-    rows = similar_groups(docs, id_col, text_col, shingle, similarity)
-    gone = materialize(rows.where("_id <> component_id").select(F.col("_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    """The documents that stay, with all their columns: the one of smallest id in each component, and null ids. A row is
+    told by its id and a hash of its text, so another row of the same id stays."""
+    rows = _grouped(docs, id_col, text_col, shingle, similarity)
+    gone = materialize(rows.where("_id <> component_id").select(F.col("_id").alias("_gone"), F.col("mark").alias("_mark")).distinct())
+    return docs.join(gone, (F.col(f"`{id_col}`") == F.col("_gone")) & (F.expr(MARK.format(f"`{text_col}`")) == F.col("_mark")), "left_anti")

@@ -42,6 +42,7 @@ SHORT, LONG = 5, 9
 LEADERS = 4
 BLOCK = 1024
 SAMPLE = 32
+MARK = "xxhash64(CAST(CAST({} AS string) AS binary))"  # of a text, to tell rows that repeat an id apart
 MOST_COMMON = 1 << 18
 PARITY_BITS = 1024
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -76,7 +77,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(_id, fp BIGINT, key BIGINT, bands ARRAY<BIGINT>): bands is null for a text without words."""
+    """(_id, mark BIGINT, fp BIGINT, key BIGINT, bands ARRAY<BIGINT>): bands is null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -91,9 +92,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
                     minima.append(minimum_hashes(kinds))
             found = iter(band_keys(np.array(minima)).tolist() if minima else [])
             bands = pa.array([next(found) if s else None for s in some], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(keys, pa.int64()), bands], ["_id", "fp", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.int64()), pa.array(keys, pa.int64()), bands], ["_id", "mark", "fp", "key", "bands"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "_id bigint, fp bigint, key bigint, bands array<bigint>")
+    marked = _texts(docs, id_col, text_col).withColumn("mark", F.expr(MARK.format("_text")))
+    return marked.mapInArrow(run, "_id bigint, mark bigint, fp bigint, key bigint, bands array<bigint>")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:

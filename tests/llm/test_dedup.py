@@ -184,6 +184,13 @@ def test_similar_cases(spark):
     assert simhash.similar_groups(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_near_copies_go_by_row_where_ids_repeat(spark):
+    base = [f"y{i}" for i in range(100)]
+    rows = [(7, " ".join(base)), (7, " ".join(base)), (7, "other words here"), (7, None), (6, " ".join([*base, "z"])), (None, " ".join(base[12:]))]
+    kept = simhash.drop_near_copies(frame(spark, rows))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[i] for i in (2, 3, 4, 5)], key=str)
+
+
 def brute_repeats(texts, length=400):
     seen = {}
     for d, t in enumerate(texts):
