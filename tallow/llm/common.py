@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,24 +10,41 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset a local session gets a
+    folder of its own for as long as it lives; on a cluster that would be lost to the others, so there it is an error."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="tallow-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        found = _OWN.get(context.applicationId)
+        if not found:
+            kept = tempfile.TemporaryDirectory(prefix="tallow-")
+            atexit.register(kept.cleanup)
+            found = _OWN[context.applicationId] = kept.name
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared folder and reads them back: later steps neither recompute them nor depend on
-    the executor that made them."""
+    the executor that made them. `discard` frees the files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallow-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._tallow_path = path
+    return kept
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of materialised rows that nothing will read again: all made from them is written by now."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._tallow_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallow.llm.common import materialize
-
-MAX_ROUNDS = 64
-
+from tallow.llm.common import discard, materialize
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, label): label is the smallest node of the component.
 
     Each round lowers the label of a node, and of the node that it points to, to the smallest label among the
-    neighbours, then points past one step, so long chains end in logarithmically many rounds. A round is written
+    neighbours, then points past one step, so long chains end in logarithmically many rounds, and as labels only fall it does end. A round is written
     to the shared folder; both sides of its joins are read from files, so hubs are skewed joins that Spark splits.
     """
     pairs = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -23,13 +20,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     total = labels.agg(F.sum(F.col("label").cast("decimal(20,0)")).alias("t"), F.count("*")).first()[0]
     if total is None:
         return labels
-    for _ in range(MAX_ROUNDS):
+    while True:
         near = both.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("_m"))
         now = labels.join(near, "node").select("node", "label", F.least("label", "_m").alias("_v"))
         told = now.select("node", "_v").unionAll(now.select(F.col("label").alias("node"), "_v"))
         hooked = materialize(told.groupBy("node").agg(F.min("_v").alias("label")))
+        old = labels
         labels = materialize(hooked.join(hooked.select(F.col("node").alias("label"), F.col("label").alias("_next")), "label").select("node", F.col("_next").alias("label")))
+        discard(old, hooked)
         before, total = total, labels.agg(F.sum(F.col("label").cast("decimal(20,0)"))).first()[0]
         if before == total:  # labels never grow, so equal sums mean that none changed
+            discard(both)
             return labels
-    raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")

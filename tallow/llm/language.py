@@ -18,6 +18,7 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,15 +119,15 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = PROFILE, h
 
 
 def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """The rows with all their columns in a struct `_row`, and lang_pred and score."""
+    """The rows with all their columns in a struct `_row`, and lang_pred and score. Only the text goes to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [profiles.predict(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["_row", "lang_pred", "score"])
+    @F.pandas_udf("lang_pred string, score double")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([profiles.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     source = docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("_text"))
-    return source.mapInArrow(run, f"_row {source.schema['_row'].dataType.simpleString()}, lang_pred string, score double")
+    once = found.asNondeterministic()  # else a filter on the result computes it a second time
+    return source.withColumn("_found", once("_text")).select("_row", "_found.lang_pred", "_found.score")
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:

@@ -13,7 +13,8 @@ distinct fingerprints are compared, and documents get their component by a join
 
 Defined cases: null text counts as empty; no word gives fingerprint zero, linked like any other; one or two words
 are one shingle; null ids are ignored when the smallest id is chosen (null if a component has no other); repeated
-rows get the same component; an empty table gives an empty result.
+rows get the same component, and `drop_near_copies` keeps all rows that equal the one that stays in id and text, which is
+exact deduplication's to mend; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -95,7 +96,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: tuple[int, int]) -> DataFrame:
     """(_id, mark, component_id)."""
-    sketched = materialize(sketches(docs, id_col, text_col, shingle))
+    sketched = materialize(sketches(docs, id_col, text_col, shingle, similarity))
     links = similar_links(docs, sketched, id_col, text_col, shingle, similarity)
     printed = sketched.select("_id", "mark", "fp")
     return printed.join(components_of(printed.select("_id", "fp"), links), "fp").select("_id", "mark", "component_id")
@@ -106,4 +107,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     told by its id and a hash of its text, so another row of the same id stays."""
     rows = _grouped(docs, id_col, text_col, shingle, similarity)
     gone = materialize(rows.where("_id <> component_id").select(F.col("_id").alias("_gone"), F.col("mark").alias("_mark")).distinct())
-    return docs.join(gone, (F.col(f"`{id_col}`") == F.col("_gone")) & (F.expr(MARK.format(f"`{text_col}`")) == F.col("_mark")), "left_anti")
+    d, g = docs.alias("_docs"), gone.alias("_gone")  # qualified: the table may have columns of any name
+    return d.join(g, (F.col(f"_docs.`{id_col}`") == F.col("_gone._gone")) & (F.expr(MARK.format(f"_docs.`{text_col}`")) == F.col("_gone._mark")), "left_anti")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallow.llm.common import materialize
+from tallow.llm.common import discard, materialize
 from tallow.llm.components import connected_components
 from tallow.llm.fingerprint import fingerprint_of, shingle_hashes, text_key
 
@@ -76,26 +76,45 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("_text"))
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(_id, mark BIGINT, fp BIGINT, key BIGINT, bands ARRAY<BIGINT>): bands is null for a text without words."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """(_id, mark BIGINT, fp BIGINT, key BIGINT, bands ARRAY<BIGINT>, n, short, head ARRAY<BIGINT>, odd ARRAY<BIGINT>).
+
+    bands is null for a text without words. n is the number of distinct shingles, head the rarest of them in the common
+    order, of which the first `short` are the head as the smaller of a pair; odd tells which of PARITY_BITS classes of
+    shingles the text holds an odd number of."""
+    kinds_known, often = _common(_texts(docs, id_col, text_col), shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps, keys, minima, some = [], [], [], []
+        for b in (x.slice(o, 1024) for x in batches for o in range(0, x.num_rows, 1024)):
+            fps, keys, minima, sizes, short, head, odd = [], [], [], [], [], [], []
             for t in b.column(1):
                 hashes = shingle_hashes(t.as_py(), shingle)
                 fps.append(fingerprint_of(hashes))
                 kinds = np.unique(hashes)
                 keys.append(text_key(kinds, fps[-1]))
-                some.append(len(kinds) > 0)
-                if some[-1]:
-                    minima.append(minimum_hashes(kinds))
+                sizes.append(len(kinds))
+                if not len(kinds):
+                    short.append(0)
+                    head.append(None)
+                    odd.append(None)
+                    continue
+                minima.append(minimum_hashes(kinds))
+                signed = kinds.view(np.int64)
+                rank = np.zeros(len(kinds), np.int64)
+                if len(kinds_known):
+                    at = np.minimum(np.searchsorted(kinds_known, signed), len(kinds_known) - 1)
+                    rank = np.where(kinds_known[at] == signed, often[at], 0)
+                least, most = heads(len(kinds), similarity)
+                short.append(least)
+                head.append(signed[np.lexsort((signed, rank))[:most]])
+                odd.append(np.packbits((np.bincount(signed & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64))
             found = iter(band_keys(np.array(minima)).tolist() if minima else [])
-            bands = pa.array([next(found) if s else None for s in some], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.int64()), pa.array(keys, pa.int64()), bands], ["_id", "mark", "fp", "key", "bands"])
+            bands = pa.array([next(found) if s else None for s in sizes], pa.list_(pa.int64()))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (head, odd)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.int64()), pa.array(keys, pa.int64()), bands, pa.array(sizes, pa.int32()), pa.array(short, pa.int32()), *lists], ["_id", "mark", "fp", "key", "bands", "n", "short", "head", "odd"])
 
     marked = _texts(docs, id_col, text_col).withColumn("mark", F.expr(MARK.format("_text")))
-    return marked.mapInArrow(run, "_id bigint, mark bigint, fp bigint, key bigint, bands array<bigint>")
+    return marked.mapInArrow(run, "_id bigint, mark bigint, fp bigint, key bigint, bands array<bigint>, n int, short int, head array<bigint>, odd array<bigint>")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -142,49 +161,18 @@ def heads(n: int, similarity: tuple[int, int]) -> tuple[int, int]:
     return n + (-2 * part * n // (part + whole)) + 1, n + (-part * n // whole) + 1
 
 
-def _heads(texts: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
-    """(_id, _text) -> (key, fp, n, short, head ARRAY<BIGINT>, odd ARRAY<BIGINT>): the rarest shingles of a text, in the
-    common order, and which of PARITY_BITS classes of shingles it holds an odd number of."""
-    kinds_known, often = _common(texts, shingle)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for t in b.column(1):
-                hashes = shingle_hashes(t.as_py(), shingle)
-                if not len(hashes):
-                    continue
-                fp, kinds = fingerprint_of(hashes), np.unique(hashes)
-                key, signed = text_key(kinds, fp), kinds.view(np.int64)
-                rank = np.zeros(len(kinds), np.int64)
-                if len(kinds_known):
-                    at = np.minimum(np.searchsorted(kinds_known, signed), len(kinds_known) - 1)
-                    rank = np.where(kinds_known[at] == signed, often[at], 0)
-                short, long = heads(len(kinds), similarity)
-                odd = np.bincount(signed & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1
-                rows.append((key, fp, len(kinds), short, signed[np.lexsort((signed, rank))[:long]], np.packbits(odd.astype(np.uint8)).view(np.int64)))
-            if rows:
-                key, fp, n, short, *lists = zip(*rows, strict=True)
-                columns = [pa.array(key, pa.int64()), pa.array(fp, pa.int64()), pa.array(n, pa.int32()), pa.array(short, pa.int32())]
-                columns += [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)], dtype=np.int32)), pa.array(np.concatenate(x))) for x in lists]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "fp", "n", "short", "head", "odd"])
-
-    return texts.mapInArrow(run, "key bigint, fp bigint, n int, short int, head array<bigint>, odd array<bigint>")
-
-
-def remaining_pairs(docs: DataFrame, links: DataFrame, id_col: str, text_col: str, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+def remaining_pairs(sketched: DataFrame, links: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """(a, b), a < b: keys of all pairs that may reach the similarity and that `links` do not put in one group."""
     part, whole = similarity
-    labels = materialize(connected_components(links).select(F.col("node").alias("fp"), "label"))
-    texts = _texts(docs, id_col, text_col).where("_id IS NOT NULL")
-    grouped = _heads(texts, shingle, similarity).join(labels, "fp", "left")
-    grouped = materialize(grouped.select("key", F.coalesce("label", "fp").alias("own"), "n", "short", "head", "odd"))
-    sizes = materialize(grouped.select("key", "own", "n", "short", "odd").dropDuplicates(["key"]))
-    rows = grouped.select("key", "short", F.posexplode("head").alias("pos", "kind")).selectExpr("key", "pos", "kind", "pos < short AS _short")
-    # Of use are shingles of two texts or more, one of them with the shingle in the head of a smaller set.
-    counts = rows.groupBy("kind").agg(F.count("*").alias("_n"), F.max("_short").alias("_some"))
-    shared = materialize(counts.where("_n > 1 AND _some").select("kind"))
-    rows = materialize(rows.select("key", "pos", "kind").join(shared, "kind").join(sizes.drop("odd"), "key"))
+    labels = connected_components(links).select(F.col("node").alias("fp"), "label")
+    texts = sketched.where("_id IS NOT NULL AND n > 0").select("fp", "key", "n", "short", "head", "odd")
+    grouped = materialize(texts.join(labels, "fp", "left").select("key", F.coalesce("label", "fp").alias("own"), "n", "short", "head", "odd"))
+    exploded = grouped.select("key", "own", "n", "short", F.posexplode("head").alias("pos", "kind"))
+    # Of use are shingles of two groups or more, one of them with the shingle in the head of a smaller set.
+    counts = exploded.groupBy("kind").agg(F.min("own").alias("_low"), F.max("own").alias("_high"), F.min(F.expr("pos - short")).alias("_least"))
+    shared = materialize(counts.where("_low < _high AND _least < 0").select("kind"))
+    # Repeated rows and texts of one key give the same row here.
+    rows = materialize(exploded.join(shared, "kind").distinct())
     owners = rows.groupBy("kind", "own").agg(F.min(F.expr("pos - short")).alias("_least"))
     x, y = (owners.select("kind", F.col("own").alias(o), F.col("_least").alias(f"_least_{o}")) for o in ("own_x", "own_y"))
     groups = x.where("_least_own_x < 0").join(y, "kind").where("own_x <> own_y").select("kind", "own_x", "own_y")
@@ -194,17 +182,22 @@ def remaining_pairs(docs: DataFrame, links: DataFrame, id_col: str, text_col: st
     fits = f"(n_x < n_y OR (n_x = n_y AND key_x < key_y)) AND {whole}L * n_x >= {part}L * n_y"
     reach = f"{part + whole}L * least(n_x - pos_x, n_y - pos_y) >= {part}L * (n_x + n_y)"
     met = materialize(met.where(f"{fits} AND {reach}").select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).distinct())
-    side = {s: sizes.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("odd").alias(f"odd_{s}")) for s in "ab"}
+    discard(shared, rows)
+    sides = met.select(F.col("a").alias("key")).unionAll(met.select(F.col("b").alias("key"))).distinct()
+    maps = materialize(grouped.join(sides, "key").groupBy("key").agg(F.first("n").alias("n"), F.first("odd").alias("odd")))
+    side = {s: maps.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("odd").alias(f"odd_{s}")) for s in "ab"}
     apart = "aggregate(zip_with(odd_a, odd_b, (p, q) -> bit_count(p ^ q)), 0, (p, q) -> p + q)"
     near = met.join(side["a"], "a").join(side["b"], "b").where(f"{part + whole}L * {apart} <= {whole - part}L * (n_a + n_b)")
-    return near.select("a", "b")
+    near = materialize(near.select("a", "b"))
+    discard(grouped, met, maps)
+    return near
 
 
 def similar_links(docs: DataFrame, sketched: DataFrame, id_col: str, text_col: str, shingle: int, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(a, b): fingerprints of linked texts. `sketched` is read from files. Rows with a null id are not compared. Not
     every link is given, but enough for the groups of all."""
     crowds = materialize(_decided(candidate_pairs(sketched), docs, sketched, id_col, text_col, shingle, similarity))
-    rest = remaining_pairs(docs, crowds, id_col, text_col, shingle, similarity)
+    rest = remaining_pairs(sketched, crowds, similarity)
     return materialize(crowds.unionAll(_decided(rest, docs, sketched, id_col, text_col, shingle, similarity)))
 
 

@@ -1,27 +1,33 @@
-"""Removal of every byte covered by a 400-byte string that also starts elsewhere, by blockwise suffix sorting.
+"""Removal of every byte covered by a string of `length` bytes that also starts elsewhere, by blockwise suffix sorting.
 
-Buckets. A window is a start from which `length` bytes remain in its document. Its anchor is the 64-byte gram of
-smallest hash within it (leftmost of equals), a function of the window's bytes alone, so equal windows share anchor
-and place in it: the anchor is the splitter that deals suffixes into buckets without any global text. Consecutive
-windows with one anchor are a run; its bytes are a segment.
+Buckets. A window is a start from which `length` bytes remain in its document. Its anchor is the gram of smallest hash
+within it (leftmost of equals), a function of the window's bytes alone, so equal windows share anchor and place in it:
+the anchor is the splitter that deals suffixes into buckets without any global text. Consecutive windows with one anchor
+are a run; its bytes are a segment. Runs that follow each other with equal segments (periodic text) are one row with a
+count, so a constant text is one row.
 
-Pruning. An anchor that occurs once has no equal windows. Where all runs of an anchor have equal segments, all of
-their windows repeat. Only anchors with unequal segments need sorting, one copy of each distinct segment.
+Choice. An anchor that occurs once has no equal windows and its bucket is not sorted. Of a segment that occurs many
+times two occurrences are sorted, the first and the last; the verdict on its windows is joined back to all of them.
 
 Sorting. A worker takes whole buckets in blocks of bounded size, one after another. Within a block the ranks of a
 difference cover sample (start mod 3 in {1, 2}) are computed first, by doubling; then the windows are sorted by
 their first bytes and, where these tie, by the ranks of the sampled suffixes that follow: for any two starts there
 is a shift of at most 2 that takes both into the sample, so no comparison reads on through a long tie. Only the
-first 400 bytes count, so ranks stop at depth 255, two of which (and 2 and 4 bytes at the ends) span a window.
+first `length` bytes count, so ranks stop at half of them; two of them and the bytes at the ends span a window.
 
-A bucket with more than HOT distinct segments is too large for a block; its windows are compared by 128-bit hashes
-in a distributed aggregate instead, so no task holds it.
+A bucket of more than MOST segments is dealt once more, by a finer splitter: the 128-bit hash of the window itself.
+What has no partner stops there; the windows that meet are sorted in blocks like all others. So no block and no task
+holds a bucket that grows with the data, and every repeat is found by the sort.
 
-Hashes of segments and of such windows (with the 64-bit anchor hash at least 128 bits) are taken as equality.
+Occurrences of one segment are told by 128 bits of hash (64 of the anchor, 64 of the segment).
 
-Defined cases: null text is empty; texts under 400 bytes lose nothing; overlapping repeats within one document
-count; repeated rows (same id and text) are separate occurrences and each loses its text; null ids are allowed; an
-empty table gives an empty result; further columns are ignored or, in `drop_repeats`, kept.
+`keep_first` leaves the first occurrence of what repeats, in order of id (null first), hash of text and start: a byte goes
+if a window over it equals one that starts earlier. So of a text that repeats itself the first period stays.
+
+Defined cases: null text is empty; texts shorter than `length` lose nothing; overlapping repeats within one document
+count; null ids are allowed; an empty table gives an empty result; further columns are ignored or, in `drop_repeats`,
+kept. Repeated rows (same id and text) are separate occurrences and each loses its text; with `keep_first` they count as
+one document and each keeps what it would keep alone.
 """
 
 from __future__ import annotations
@@ -30,20 +36,19 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallow.llm.common import materialize
+from tallow.llm.common import discard, materialize
 
 LENGTH = 400
 GRAM = 64
 CHUNK = 1 << 19  # bytes hashed at once
 BLOCK = 1 << 19  # bytes sorted at once
-HOT = 4096
-DEPTH = 192  # doubling from 6; with a second rank 63 further on 255
-SECOND = 141  # 255 + 141 = 396
+MOST = 512  # segments of a bucket that is sorted whole
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE, _INV = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
@@ -135,7 +140,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, payload: bool = False) -
 
 
 def anchored(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(_id, _th, start, n, lead, anchor, seg): one row per run of windows."""
+    """(_id, _th, start, n, times, lead, anchor, seg): one row per run of n windows that follows itself so often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -148,166 +153,218 @@ def anchored(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
                 first, count, lead, anchor = runs(np.frombuffer(text, np.uint8), np.repeat(ends, lens), length, gram)
                 part = np.searchsorted(ends, first, side="right")
                 seg = np.fromiter((digest(text[s : s + c + length - 1], x) for s, c, x in zip(first.tolist(), count.tolist(), lead.tolist(), strict=True)), np.uint64, len(first))
+                new = np.ones(len(first), bool)
+                new[1:] = (part[1:] != part[:-1]) | (anchor[1:] != anchor[:-1]) | (seg[1:] != seg[:-1]) | (count[1:] != count[:-1])
+                head = np.flatnonzero(new)
+                times = np.diff(np.append(head, len(first)))
+                first, count, lead, anchor, seg, part = (x[head] for x in (first, count, lead, anchor, seg, part))
                 row = pa.array(np.array(rows, np.int64)[part])
                 start = first - (ends - lens)[part] + np.array(offs, np.int64)[part]
-                cols = [b.column(0).take(row), b.column(1).take(row), pa.array(start), pa.array(count.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, ["_id", "_th", "start", "n", "lead", "anchor", "seg"])
+                cols = [b.column(0).take(row), b.column(1).take(row), pa.array(start), pa.array(count.astype(np.int32)), pa.array(times.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, ["_id", "_th", "start", "n", "times", "lead", "anchor", "seg"])
 
-    return keyed.select("_id", "_th", "_bytes").mapInArrow(run, "_id bigint, _th bigint, start bigint, n int, lead int, anchor bigint, seg bigint")
+    return keyed.select("_id", "_th", "_bytes").mapInArrow(run, "_id bigint, _th bigint, start bigint, n int, times int, lead int, anchor bigint, seg bigint")
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
     """Ranks of the values, equal where they are equal."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     s = keys[order]
     rank = np.empty(len(keys), np.int64)
     rank[order] = np.cumsum(np.concatenate(([0], (s[1:] != s[:-1]).astype(np.int64)))) if len(s) else 0
     return rank
 
 
-def cover_ranks(a: np.ndarray) -> np.ndarray:
-    """For starts s with s mod 3 in {1, 2}: the rank of the 255 bytes from s on (zeros past the end)."""
+def _depths(length: int) -> tuple[int, int, int]:
+    """(bytes under the two ranks of a window, depth of a rank, place of the second): all multiples of 3."""
+    if length < 16:
+        raise ValueError("a window has 16 bytes at least")
+    span = (length - 4) // 3 * 3
+    depth = -(-span // 6) * 3
+    return span, depth, span - depth
+
+
+def cover_ranks(a: np.ndarray, depth: int) -> np.ndarray:
+    """For starts s with s mod 3 in {1, 2}: the rank of the `depth` bytes from s on (zeros past the end)."""
     n = len(a)
-    wide = np.zeros(n + 256, np.uint64)
+    wide = np.zeros(n + 2 * depth + 8, np.uint64)
     wide[:n] = a
     sample = np.flatnonzero(np.arange(n) % 3)
     key = np.zeros(len(sample), np.uint64)
     for i in range(6):
         key = (key << np.uint64(8)) | wide[sample + i]
-    rank = np.zeros(n + 256, np.int64)
+    rank = np.zeros(n + 2 * depth + 8, np.int64)
     rank[sample] = _dense(key) + 1
-    depth = 6
-    while depth < DEPTH:
-        step = min(depth, DEPTH - depth)
+    now = 6
+    while now < depth:
+        step = min(now, depth - now)
         rank[sample] = _dense(rank[sample] << 32 | rank[sample + step]) + 1
-        depth += step
-    rank[sample] = _dense(rank[sample] << 32 | rank[sample + 63]) + 1
+        now += step
     return rank
 
 
-def repeated_windows(a: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Which of these windows of 400 bytes have an equal one among them."""
-    rank = cover_ranks(a)
-    wide = np.zeros(len(a) + LENGTH + 8, np.uint64)
+def sorted_windows(a: np.ndarray, starts: np.ndarray, order: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """For each of these windows: whether another equals it, and whether one that does comes earlier in `order`."""
+    span, depth, second = _depths(length)
+    rank = cover_ranks(a, depth)
+    wide = np.zeros(len(a) + length + 8, np.uint64)
     wide[: len(a)] = a
     edge = np.zeros(len(starts), np.uint64)
-    for i in (0, 1, 396, 397, 398, 399):
+    for i in (0, 1, *range(span, length)):  # what a shift leaves uncovered: at most 8 bytes
         edge = (edge << np.uint64(8)) | wide[starts + i]
-    found, phase = np.zeros(len(starts), bool), starts % 3
+    edge = _dense(edge)
+    repeated, later, phase = np.zeros(len(starts), bool), np.zeros(len(starts), bool), starts % 3
     for shift, other in ((0, 0), (1, 2), (2, 1)):  # the class left out: with it no such shift reaches the sample
         own = np.flatnonzero(phase != other)
+        if not len(own):
+            continue
         s = starts[own] + shift
-        key = rank[s] << 32 | rank[s + SECOND]
-        order = np.lexsort((edge[own], key))
-        k, e = key[order], edge[own][order]
-        same = (k[1:] == k[:-1]) & (e[1:] == e[:-1])
-        found[own[order[1:][same]]] = True
-        found[own[order[:-1][same]]] = True
-    return found
+        kind = _dense(_dense(rank[s] << 32 | rank[s + second]) << 32 | edge[own])
+        count = np.bincount(kind)
+        least = np.full(len(count), np.iinfo(np.int64).max)
+        np.minimum.at(least, kind, order[own])
+        repeated[own] |= count[kind] > 1
+        later[own] |= order[own] > least[kind]
+    return repeated, later
 
 
-def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
+def _spans(flags: np.ndarray) -> list[dict]:
     edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+    return [{"s": i, "n": j - i} for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
 
 
-def sorted_buckets(segments: DataFrame) -> DataFrame:
-    """(anchor, many, _id, _th, start, n, bytes) dealt and ordered by anchor -> (_id, _th, start, n) of repeats."""
+SPANS = pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int32())]))
+VERDICT = "k1 bigint, k2 bigint, rep array<struct<s:int,n:int>>, own array<struct<s:int,n:int>>"
+_SORTED = ["bucket", "k1", "k2", "copy", "_id", "_th", "start", "n", "bytes"]
+
+
+def sorted_buckets(segments: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(bucket, k1, k2, copy, _id, _th, start, n, bytes) dealt by bucket and ordered by it -> (k1, k2, rep, own): of each
+    string (k1, k2) the windows that repeat, and those of its first occurrence (copy 0) that repeat earlier ones."""
 
     def block(rows: list[tuple]) -> list[tuple]:
-        parts = [r[6] for r in rows]
+        parts = [r[8] for r in rows]
         offs = np.cumsum([0, *map(len, parts)])
-        counts = np.array([r[5] for r in rows])
-        starts = np.concatenate([np.arange(o, o + c) for o, c in zip(offs, counts, strict=False)])
-        flags = repeated_windows(np.frombuffer(b"".join(parts), np.uint8), starts)
-        out, at = [], 0
-        for r in rows:
-            if not r[1]:  # a segment that occurs more than once is known to repeat
-                out += [(r[2], r[3], r[4] + i, j - i) for i, j in _spans(flags[at : at + r[5]])]
-            at += r[5]
+        counts = np.array([r[7] for r in rows])
+        firsts = np.concatenate(([0], np.cumsum(counts)))
+        inner = np.arange(firsts[-1]) - np.repeat(firsts[:-1], counts)
+        docs = {d: i for i, d in enumerate(sorted({(r[4] is not None, r[4] or 0, r[5]) for r in rows}))}
+        place = np.array([docs[r[4] is not None, r[4] or 0, r[5]] << 40 | r[6] for r in rows], np.int64)
+        repeated, later = sorted_windows(np.frombuffer(b"".join(parts), np.uint8), np.repeat(offs[:-1], counts) + inner, np.repeat(place, counts) + inner, length)
+        out = []
+        for r, i, j in zip(rows, firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
+            if not r[3] and repeated[i:j].any():
+                out.append((r[1], r[2], _spans(repeated[i:j]), _spans(later[i:j])))
         return out
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), SPANS, SPANS), strict=True)], ["k1", "k2", "rep", "own"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for b in batches:
             out: list[tuple] = []
-            for r in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+            for r in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
                 if size >= BLOCK and held[-1][0] != r[0]:
                     out += block(held)
                     held, size = [], 0
                 held.append(r)
-                size += len(r[6])
-            yield _ranges(out)
-        yield _ranges(block(held) if held else [])
+                size += len(r[8])
+            yield made(out)
+        yield made(block(held) if held else [])
 
-    return segments.select("anchor", "many", "_id", "_th", "start", "n", "bytes").mapInArrow(run, RANGE)
+    dealt = segments.select(*_SORTED).repartition("bucket").sortWithinPartitions("bucket", "k1", "k2", "copy")
+    return dealt.mapInArrow(run, VERDICT)
 
 
-RANGE = "_id bigint, _th bigint, start bigint, n int"
-
-
-def _ranges(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["_id", "_th", "start", "n"])
-
-
-def hashed_buckets(segments: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The same result for buckets too large for a block: windows meet by 128-bit hash in an aggregate."""
+def _hot_windows(segments: DataFrame, length: int) -> DataFrame:
+    """Windows of buckets too large for a block: (anchor, seg, i, copy, _id, _th, start, h1, h2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "h1", "h2", "many", "_id", "_th", "at"]
-        for b in batches:
-            for i in range(b.num_rows):
-                anchor, many, doc, th, start, n, data = (b.column(c)[i].as_py() for c in range(7))
-                both = [divmod(xxhash.xxh3_128_intdigest(data[j : j + length]), 1 << 64) for j in range(n)]
-                h = np.array(both, np.uint64).view(np.int64)
-                cols = [pa.array([anchor] * n, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([many] * n, pa.bool_()), pa.array([doc] * n, pa.int64()), pa.array([th] * n, pa.int64()), pa.array(np.arange(start, start + n))]
-                yield pa.RecordBatch.from_arrays(cols, names)
-
-    picked = segments.select("anchor", "many", "_id", "_th", "start", "n", "bytes")
-    windows = materialize(picked.mapInArrow(run, "anchor bigint, h1 bigint, h2 bigint, many boolean, _id bigint, _th bigint, at bigint"))
-    twice = materialize(windows.groupBy("h1", "h2").agg(F.count("*").alias("_n")).where("_n > 1"))
-    return windows.where("NOT many").join(twice, ["h1", "h2"]).selectExpr("_id", "_th", "at AS start", "1 AS n")
-
-
-def _with_keys(keyed: DataFrame, small: DataFrame) -> DataFrame:
+        names = ["anchor", "seg", "i", "copy", "_id", "_th", "start", "h1", "h2"]
+        for b in (x.slice(o, 512) for x in batches for o in range(0, x.num_rows, 512)):
+            n = b.column(7).to_numpy()
+            row = np.repeat(np.arange(b.num_rows), n)
+            inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            datas = b.column(8).to_pylist()
+            both = np.empty((len(row), 2), np.uint64)
+            for k, (r, i) in enumerate(zip(row.tolist(), inner.tolist(), strict=True)):
+                both[k] = divmod(xxhash.xxh3_128_intdigest(datas[r][i : i + length]), 1 << 64)
+            take = pa.array(row)
+            hashes = (pa.array(np.ascontiguousarray(both[:, c]).view(np.int64)) for c in (0, 1))
+            at = pa.array(b.column(6).to_numpy()[row] + inner)
+            yield pa.RecordBatch.from_arrays([b.column(1).take(take), b.column(2).take(take), pa.array(inner.astype(np.int32)), b.column(3).take(take), b.column(4).take(take), b.column(5).take(take), at, *hashes], names)
+
+    return segments.select(*_SORTED).mapInArrow(run, "anchor bigint, seg bigint, i int, copy int, _id bigint, _th bigint, start bigint, h1 bigint, h2 bigint")
+
+
+def _hot_verdicts(segments: DataFrame, length: int) -> DataFrame:
+    """The same result for buckets of any size: of the windows that meet by their hash, two each are sorted."""
+    windows = materialize(_hot_windows(segments, length))
+    place = F.struct("_id", "_th", "start", "anchor", "seg", "i", "copy")
+    met = materialize(windows.groupBy("h1", "h2").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.count("*").alias("_c")).where("_c > 1").drop("_c"))
+    wanted = met.select("h1", "h2", F.posexplode(F.array("p", "q")).alias("k", "p")).select("h1", "h2", "k", "p.anchor", "p.seg", "p.i", "p.copy")
+    by_segment = wanted.groupBy(F.col("anchor").alias("k1"), F.col("seg").alias("k2"), "copy").agg(F.collect_list(F.struct("h1", "h2", "k", "i")).alias("parts"))
+    cut = segments.join(by_segment, ["k1", "k2", "copy"]).select("_id", "_th", "start", "bytes", F.explode("parts").alias("p"))
+    strings = cut.selectExpr("p.h1 AS bucket", "p.h1 AS k1", "p.h2 AS k2", "p.k AS copy", "_id", "_th", "start + p.i AS start", "1 AS n", f"substring(bytes, p.i + 1, {length}) AS bytes")
+    found = sorted_buckets(materialize(strings), length).select(F.col("k1").alias("h1"), F.col("k2").alias("h2"))
+    firsts = materialize(found.join(met, ["h1", "h2"]).selectExpr("h1", "h2", "struct(p._id, p._th, p.start) AS a"))
+    one = F.struct(F.col("i").alias("s"), F.lit(1).alias("n"))
+    flags = windows.where("copy = 0").join(firsts, ["h1", "h2"])
+    flags = flags.groupBy("anchor", "seg").agg(F.collect_list(one).alias("rep"), F.collect_list(F.when(~F.expr("struct(_id, _th, start) <=> a"), one)).alias("own"))
+    return flags.select(F.col("anchor").alias("k1"), F.col("seg").alias("k2"), "rep", "own")
+
+
+def _with_keys(keyed: DataFrame, small: DataFrame, how: str = "left") -> DataFrame:
     """Texts joined, unsorted, to the few rows gathered for them; the gathered side is the hash table."""
     id_, th = small["_id"].alias("_i"), small["_th"].alias("_t")
     right = small.select(id_, th, *(c for c in small.columns if c not in ("_id", "_th"))).hint("shuffle_hash")
-    return keyed.join(right, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left").drop("_i", "_t")
+    return keyed.join(right, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), how).drop("_i", "_t")
 
 
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _th, spans): for each row with repeats the ranges of window starts, (start, n) each."""
+def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_first: bool = False) -> DataFrame:
+    """(_id, _th, spans): for each row with repeats the ranges of window starts, (s, n) each, that go."""
     keyed = _keyed(docs, id_col, text_col)
-    all_runs = materialize(anchored(keyed))
-    counts = all_runs.groupBy("anchor").agg(F.count("*").alias("_c"), F.min("seg").alias("_a"), F.max("seg").alias("_b")).where("_c > 1")
-    anchors = materialize(counts.selectExpr("anchor", "_a = _b AS alike"))
+    all_runs = materialize(anchored(keyed, length, gram))
+    anchors = materialize(all_runs.groupBy("anchor").agg(F.sum("times").alias("_c")).where("_c > 1").select("anchor"))
     met = materialize(all_runs.join(anchors, "anchor"))
-    alike = met.where("alike").select("_id", "_th", "start", "n")
-    unlike = met.where("NOT alike")
-    firsts = F.min(F.struct("_id", "_th", "start", "n", "lead")).alias("r")
-    segs = materialize(unlike.groupBy("anchor", "seg").agg((F.count("*") > 1).alias("many"), firsts).select("anchor", "seg", "many", "r.*"))
-    copies = unlike.join(segs.where("many").select("anchor", "seg"), ["anchor", "seg"]).select("_id", "_th", "start", "n")
-    hot = segs.groupBy("anchor").agg(F.count("*").alias("_k")).where(f"_k > {HOT}").select("anchor", F.lit(True).alias("hot"))
-    wanted = segs.join(F.broadcast(hot), "anchor", "left")  # at most one in HOT segments can be of a hot anchor
-    by_doc = wanted.groupBy("_id", "_th").agg(F.collect_list(F.struct("anchor", F.coalesce("hot", F.lit(False)).alias("hot"), "many", "start", "n")).alias("parts"))
-    texts = _with_keys(keyed, by_doc).where("parts IS NOT NULL")
-    cut = F.explode("parts").alias("p")
-    bytes_ = F.expr(f"substring(_bytes, CAST(p.start + 1 AS INT), p.n + {LENGTH - 1})")
-    segments = texts.select("_id", "_th", "_bytes", cut).select("p.anchor", "p.hot", "p.many", "_id", "_th", "p.start", "p.n", bytes_.alias("bytes"))
-    segments = materialize(segments)
-    cold = segments.where("NOT hot").repartition("anchor").sortWithinPartitions("anchor", "_id", "_th", "start")
-    found = alike.unionAll(copies).unionAll(sorted_buckets(cold)).unionAll(hashed_buckets(segments.where("hot")))
-    return found.groupBy("_id", "_th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-
-
-def removed_spans(spans, size: int, length: int = LENGTH) -> list[tuple[int, int]]:
+    discard(all_runs, anchors)
+    # The last occurrence may be the last repetition in the place of the first.
+    last = F.struct("_id", "_th", F.expr("start + n * (times - 1)").alias("start"), "n")
+    ends = met.groupBy("anchor", "seg").agg(F.min(F.struct("_id", "_th", "start", "n")).alias("a"), F.max(last).alias("b"), F.sum("times").alias("_c"))
+    segs = materialize(ends.select("anchor", "seg", "a", "b", F.expr("NOT (a <=> b)" if keep_first else "_c > 1").alias("many")))
+    hot = materialize(segs.groupBy("anchor").agg(F.count("*").alias("_k")).where(f"_k > {MOST}").select("anchor", F.lit(True).alias("hot")))
+    crowded = not hot.isEmpty()
+    dealt = segs.join(hot, "anchor", "left") if crowded else segs.withColumn("hot", F.lit(False))
+    wanted = dealt.select("anchor", "seg", F.coalesce("hot", F.lit(False)).alias("hot"), F.posexplode(F.expr("CASE WHEN many THEN array(a, b) ELSE array(a) END")).alias("copy", "p"))
+    by_doc = wanted.groupBy("p._id", "p._th").agg(F.collect_list(F.struct("anchor", "seg", "hot", "copy", "p.start", "p.n")).alias("parts"))
+    if not keyed.groupBy("_id", "_th").agg(F.count("*").alias("_c")).where("_c > 1").isEmpty():  # repeated rows: one gives the bytes
+        keyed = keyed.groupBy("_id", "_th").agg(F.first("_bytes").alias("_bytes"))
+    bytes_ = F.expr(f"substring(_bytes, CAST(p.start + 1 AS INT), p.n + {length - 1})").alias("bytes")
+    strings = _with_keys(keyed, by_doc, "inner").select("_id", "_th", "_bytes", F.explode("parts").alias("p"))
+    strings = materialize(strings.select(F.col("p.anchor").alias("bucket"), F.col("p.anchor").alias("k1"), F.col("p.seg").alias("k2"), "p.copy", "_id", "_th", "p.start", "p.n", "p.hot", bytes_))
+    verdicts = materialize(sorted_buckets(strings.where("NOT hot"), length))
+    if crowded:
+        verdicts = verdicts.unionAll(_hot_verdicts(strings.where("hot"), length))
+    # Written on its own, so that a segment with very many occurrences is a skewed join that Spark splits.
+    verdicts = materialize(verdicts.select(F.col("k1").alias("anchor"), F.col("k2").alias("seg"), "rep", "own").join(segs.select("anchor", "seg", "a"), ["anchor", "seg"]))
+    shifted = "transform({}, x -> struct(CAST(start + x.s AS BIGINT) AS s, CAST(x.n AS BIGINT) AS n))"
+    again = "CASE WHEN times > 1 THEN array(struct(CAST(start + {0} * n AS BIGINT) AS s, CAST(n AS BIGINT) * (times - {0}) AS n)) ELSE {1} END"
+    every = again.format(0, shifted.format("rep"))
+    if keep_first:
+        rest = again.format(1, "CAST(array() AS array<struct<s:bigint,n:bigint>>)")
+        every = f"CASE WHEN struct(_id, _th, start, n) <=> a THEN concat({shifted.format('own')}, {rest}) ELSE {every} END"
+    found = materialize(met.join(verdicts, ["anchor", "seg"]).select("_id", "_th", F.expr(every).alias("spans")).where("size(spans) > 0"))
+    discard(met, segs, hot, strings, verdicts)
+    return found.groupBy("_id", "_th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def removed_spans(starts, counts, size: int, length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal removed byte ranges from ranges of window starts."""
     out: list[list[int]] = []
-    for s, n in sorted((x["start"], x["n"]) for x in spans or ()):
+    for s, n in sorted(zip(map(int, starts), map(int, counts), strict=True)):
         e = min(size, s + n - 1 + length)
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
@@ -321,40 +378,42 @@ def _kept(data: bytes, cut: list[tuple[int, int]]) -> bytes:
     return b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
 
 
-def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _marked(docs: DataFrame, id_col: str, text_col: str, payload: bool, **how) -> DataFrame:
+    """The keyed rows with their spans, and in `_touched` the bytes of those that have some."""
+    rows = _with_keys(_keyed(docs, id_col, text_col, payload), repeated_ranges(docs, id_col, text_col, **how))
+    return rows.withColumn("_touched", F.when(F.col("spans").isNotNull(), F.col("_bytes")))
+
+
+def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per document: (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for data, spans in zip(b.column(1), b.column(2), strict=True):
-                data = data.as_py()
-                cut = removed_spans(spans.as_py(), len(data))
-                out.append((len(data), sum(j - i for i, j in cut), len(cut), hashlib.sha256(_kept(data, cut)).hexdigest()))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    @F.pandas_udf("n_removed bigint, n_spans bigint, kept_sha256 string")
+    def cut(data: pd.Series, starts: pd.Series, counts: pd.Series) -> pd.DataFrame:
+        out = []
+        for d, s, n in zip(data, starts, counts, strict=True):
+            if d is None:
+                out.append((0, 0, None))
+                continue
+            gone = removed_spans(s, n, len(d), length)
+            out.append((sum(j - i for i, j in gone), len(gone), hashlib.sha256(_kept(d, gone)).hexdigest()))
+        return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256"])
 
-    rows = _with_keys(_keyed(docs, id_col, text_col), repeated_ranges(docs, id_col, text_col)).select("_id", "_bytes", "spans")
-    return rows.mapInArrow(run, "_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").withColumnRenamed("_id", id_col)
+    rows = _marked(docs, id_col, text_col, False, length=length).withColumn("_cut", cut.asNondeterministic()("_touched", "spans.s", "spans.n"))
+    sha = F.coalesce("_cut.kept_sha256", F.sha2("_bytes", 256)).alias("kept_sha256")
+    return rows.select(F.col("_id").alias(id_col), F.octet_length("_bytes").cast("bigint").alias("n_bytes"), "_cut.n_removed", "_cut.n_spans", sha)
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_first: bool = True) -> DataFrame:
     """The documents with all their columns and the repeats cut out of the text; n_chars, if there, follows it.
 
     A cut inside a character takes the rest of that character too. A null text stays null.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept = []
-            for data, spans in zip(b.column(1), b.column(2), strict=True):
-                data = data.as_py()
-                kept.append(_kept(data, removed_spans(spans.as_py(), len(data))).decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string())], ["_row", "_kept"])
-
-    rows = _with_keys(_keyed(docs, id_col, text_col, True), repeated_ranges(docs, id_col, text_col)).select("_row", "_bytes", "spans")
-    made = rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, _kept string")
-    text = F.when(F.col(f"_row.`{text_col}`").isNotNull(), F.col("_kept"))
+    @F.pandas_udf("string")
+    def cut(data: pd.Series, starts: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series([None if d is None else _kept(d, removed_spans(s, n, len(d), length)).decode("utf-8", "ignore") for d, s, n in zip(data, starts, counts, strict=True)], dtype=object)
+
+    rows = _marked(docs, id_col, text_col, True, length=length, gram=gram, keep_first=keep_first).withColumn("_kept", cut.asNondeterministic()("_touched", "spans.s", "spans.n"))
+    text = F.coalesce("_kept", F.col(f"_row.`{text_col}`"))
     new = {text_col: text} | ({"n_chars": F.coalesce(F.char_length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return made.select(*(new[c].alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+    return rows.select(*(new[c].alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -22,13 +22,24 @@ def test_exact_against_sql(spark):
     assert check(exact_dedup.exact_groups(spark.read.parquet(f"{SF}/documents.parquet")), connect(SF), exact_dedup.SQL) > 0
 
 
-@pytest.mark.parametrize("bits", [64, 1 << 20])
+def test_exact_filter_follows_the_rows():
+    sizes = [exact_dedup.filter_size(n) for n in (0, 1, 10**5, 10**7, 10**9)]
+    assert sizes == [1 << 16, 1 << 16, 1 << 21, 1 << 28, 1 << 30]
+
+
+def test_exact_keeps_one_of_rows_equal_in_id_and_text(spark):
+    rows = [(1, "t" * 3000)] * 5 + [(None, "u")] * 3 + [(2, "T" * 3000)] * 2
+    kept = exact_dedup.drop_exact_copies(frame(spark, rows).repartition(4)).collect()
+    assert sorted((str(r.doc_id), r.text[0]) for r in kept) == [("2", "T"), ("None", "u")]
+
+
+@pytest.mark.parametrize("bits", [64, None])
 def test_exact_cases(spark, bits):
     rows = [(1, "Ab"), (2, "aB"), (3, None), (4, ""), (5, "É"), (6, "é"), (7, "z" * 100_000), (7, "Z" * 100_000), (None, "ab"), (None, "only")]
     got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(frame(spark, rows), filter_bits=bits).collect()}
-    assert got == {(1, 2, 3, False), (2, 2, 3, True), (None, 2, 3, False), (3, 4, 2, False), (4, 4, 2, True), (5, 5, 1, True), (6, 6, 1, True), (7, 7, 2, True), (None, None, 1, True)}
+    assert got == {(1, 2, 3, False), (2, 2, 3, True), (None, 2, 3, False), (3, 4, 2, False), (4, 4, 2, True), (5, 5, 1, True), (6, 6, 1, True), (7, 7, 2, True), (7, 7, 2, False), (None, None, 1, True)}
     kept = exact_dedup.drop_exact_copies(frame(spark, rows), filter_bits=bits)
-    assert kept.columns == ["doc_id", "text", "_row", "keep_id", "n_chars"] and kept.count() == 7
+    assert kept.columns == ["doc_id", "text", "_row", "keep_id", "n_chars"] and sorted((r.doc_id for r in kept.collect()), key=str) == sorted([2, 4, 5, 6, 7, None], key=str)
     assert exact_dedup.exact_groups(frame(spark, rows).limit(0)).count() == 0
 
 
@@ -181,6 +192,8 @@ def test_similar_cases(spark):
     assert got == sorted([(9, 8), (8, 8), (7, 6), (7, 6), (7, 7), (6, 6), (None, None), (5, 4), (4, 4)], key=str)
     kept = simhash.drop_near_copies(frame(spark, rows))
     assert kept.columns == ["doc_id", "text", "_row", "keep_id", "n_chars"]
+    clash = frame(spark, rows).toDF("doc_id", "text", "_gone", "_mark", "_id")
+    assert simhash.drop_near_copies(clash).columns == clash.columns and simhash.drop_near_copies(clash).count() == kept.count()
     assert simhash.similar_groups(frame(spark, rows).limit(0)).count() == 0
 
 
@@ -234,8 +247,57 @@ def test_repeats_brute(spark):
 def test_repeats_hot_and_small_blocks(spark, monkeypatch):
     rows = made_up(4)
     want = sorted((i, *x) for (i, _), x in zip(rows, brute_repeats([(t or "").encode() for _, t in rows]), strict=True))
-    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    monkeypatch.setattr(suffix_dedup, "MOST", 3)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 5000)
     assert repeats_of(spark, rows) == want
+    got = {r.doc_id: r.text or "" for r in suffix_dedup.drop_repeats(frame(spark, rows), length=120, gram=32).collect()}
+    assert got == brute_first(rows, 120)
+
+
+def brute_first(rows, length):
+    """What is left of each text if a window that equals an earlier one goes, in order of id."""
+    seen, out = set(), {}
+    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        t = (text or "").encode()
+        gone = bytearray(len(t))
+        for k in range(len(t) - length + 1):
+            w = t[k : k + length]
+            if w in seen:
+                gone[k : k + length] = b"\1" * length
+            seen.add(w)
+        out[i] = bytes(c for c, g in zip(t, gone, strict=True) if not g).decode("utf-8", "ignore")
+    return out
+
+
+@pytest.mark.parametrize(("length", "gram"), [(400, 64), (240, 32), (101, 32), (50, 16)])
+def test_first_occurrences_stay(spark, length, gram):
+    rows = made_up(length)
+    got = {r.doc_id: r.text or "" for r in suffix_dedup.drop_repeats(frame(spark, rows), length=length, gram=gram).collect()}
+    assert got == brute_first(rows, length)
+
+
+def test_constant_and_periodic_texts(spark):
+    rows = [(1, "y" * 1_000_000), (2, "z"), (3, "ab" * 300_000), (4, "q" * 399)]
+    df = frame(spark, rows)
+    assert suffix_dedup.anchored(suffix_dedup._keyed(df, "doc_id", "text")).count() < 20
+    got = {(r.doc_id, r.n_removed, r.n_spans) for r in suffix_dedup.repeat_report(df).collect()}
+    assert got == {(1, 1_000_000, 1), (2, 0, 0), (3, 600_000, 1), (4, 0, 0)}
+    assert {(r.doc_id, r.text) for r in suffix_dedup.drop_repeats(df).collect()} == {(1, "y"), (2, "z"), (3, "ab"), (4, "q" * 399)}
+
+
+def test_repeats_of_the_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    texts = [(t or "").encode() for _, t in rows]
+    seen = Counter(hash(t[i : i + 400]) for t in texts for i in range(len(t) - 399))
+    want = []
+    for (d, _), t in zip(rows, texts, strict=True):
+        gone = bytearray(len(t))
+        for i in range(len(t) - 399):
+            if seen[hash(t[i : i + 400])] > 1:
+                gone[i : i + 400] = b"\1" * 400
+        kept = bytes(c for c, g in zip(t, gone, strict=True) if not g)
+        want.append((d, len(t), sum(gone), sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1])), hashlib.sha256(kept).hexdigest()))
+    assert repeats_of(spark, rows) == sorted(want) and sum(w[2] for w in want) > 0
 
 
 def test_repeated_windows_shifts():
@@ -244,17 +306,26 @@ def test_repeated_windows_shifts():
     for shift in range(7):
         a = b"q" * 500 + base + b"r" * (500 + shift) + base + b"s" * 500
         starts = np.arange(500, len(a) - 899)
-        flags = suffix_dedup.repeated_windows(np.frombuffer(a, np.uint8), starts)
-        seen = {}
-        for i in starts:
-            seen.setdefault(a[i : i + 400], []).append(i)
-        assert flags.tolist() == [len(seen[a[i : i + 400]]) > 1 for i in starts]
+        for length in (400, 399, 398, 240, 100):
+            repeated, later = suffix_dedup.sorted_windows(np.frombuffer(a, np.uint8), starts, -starts, length)
+            seen = {}
+            for i in starts:
+                seen.setdefault(a[i : i + length], []).append(i)
+            assert repeated.tolist() == [len(seen[a[i : i + length]]) > 1 for i in starts]
+            assert later.tolist() == [i < max(seen[a[i : i + length]]) for i in starts]
 
 
 def test_repeats_rows_and_columns(spark):
     t = "".join(random.Random(9).choice("abcdé ") for _ in range(700))
     rows = [(1, t), (1, t), (None, "A" + t), (2, "clean"), (3, None)]
-    got = suffix_dedup.drop_repeats(frame(spark, rows))
+    got = suffix_dedup.drop_repeats(frame(spark, rows), keep_first=False)
     assert got.columns == ["doc_id", "text", "_row", "keep_id", "n_chars"]
     assert sorted(((r.doc_id, r.text, r.n_chars) for r in got.collect()), key=str) == sorted([(1, "", 0), (1, "", 0), (None, "A", 1), (2, "clean", 5), (3, None, 0)], key=str)
-    assert suffix_dedup.repeat_report(frame(spark, rows).limit(0)).count() == 0
+    rng = random.Random(9)
+    t = "".join(rng.choice("abcdé ") for _ in range(700))
+    rows = [(1, t), (1, t), (None, "A" + t), (2, "clean"), (3, None)]
+    first = suffix_dedup.drop_repeats(frame(spark, rows))
+    assert sorted(((r.doc_id, r.text) for r in first.collect()), key=str) == sorted([(1, ""), (1, ""), (None, "A" + t), (2, "clean"), (3, None)], key=str)
+    twice = suffix_dedup.drop_repeats(frame(spark, [(1, t), (1, t), (2, "clean")]))
+    assert sorted((r.doc_id, r.text) for r in twice.collect()) == [(1, t), (1, t), (2, "clean")]
+    assert suffix_dedup.repeat_report(frame(spark, rows).limit(0)).count() == suffix_dedup.drop_repeats(frame(spark, rows).limit(0)).count() == 0

@@ -1,12 +1,13 @@
 """The corpus pipeline against plain Python, stage after stage."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_dedup import brute_similar, exact_dedup_upper
+from tests.llm.test_dedup import brute_first, brute_similar, exact_dedup_upper
 from tests.llm.test_text import ODD, frame, packed
 
 SF = "/root/testdata/sf0.001"
@@ -49,7 +50,13 @@ def without_exact_copies(rows):
     for r in rows:
         t = ascii_lower(r["text"])
         best[t] = max(best.get(t, -1), r["doc_id"])
-    return [r for r in rows if best[ascii_lower(r["text"])] == r["doc_id"]]
+    out, seen = [], set()
+    for r in rows:
+        t = ascii_lower(r["text"])
+        if best[t] == r["doc_id"] and t not in seen:
+            seen.add(t)
+            out.append(r)
+    return out
 
 
 def without_near_copies(rows):
@@ -57,18 +64,9 @@ def without_near_copies(rows):
     return [r for r in rows if component[r["doc_id"]] == r["doc_id"]]
 
 
-def without_repeats(rows, length=400):
-    texts = [(r["text"] or "").encode() for r in rows]
-    seen = Counter(hash(t[i : i + length]) for t in texts for i in range(len(t) - length + 1))
-    out = []
-    for r, t in zip(rows, texts, strict=True):
-        gone = bytearray(len(t))
-        for i in range(len(t) - length + 1):
-            if seen[hash(t[i : i + length])] > 1:
-                gone[i : i + length] = b"\1" * length
-        text = bytes(c for c, g in zip(t, gone, strict=True) if not g).decode("utf-8", "ignore")
-        out.append(r | {"text": text if r["text"] is not None else None, "n_chars": len(text)})
-    return out
+def without_repeats(rows):
+    left = brute_first([(r["doc_id"], r["text"]) for r in rows], corpus_pipeline.REPEAT_BYTES)
+    return [r | {"text": None if r["text"] is None else left[r["doc_id"]], "n_chars": len(left[r["doc_id"]])} for r in rows]
 
 
 BRUTE = {"language_id": with_language, "exact_dedup": without_exact_copies, "near_dedup": without_near_copies, "suffix_dedup": without_repeats}
@@ -102,8 +100,17 @@ def test_stages_on_odd_rows(spark):
         columns, docs = docs.columns, stage(spark, docs, SF)
         assert docs.columns == columns
     kept = sorted(((r.doc_id, r.text[:8]) for r in docs.collect()), key=str)
-    assert kept == sorted([(5, ""), (6, "same"), (6, "same"), (7, "tail spa"), (8, "a  b \n c"), (9, "😀é😀é😀é😀é"), (None, "no id")], key=str)
+    assert kept == sorted([(5, "x"), (6, "same"), (7, "tail spa"), (8, "a  b \n c"), (9, "😀é"), (None, "no id")], key=str)
     packed(docs, corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect())
     empty = frame(spark, ODD).limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_repeated_rows_keep_their_text_once(spark):
+    rng = random.Random(6)
+    long = " ".join("".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 9))) for _ in range(500))
+    docs = frame(spark, [(1, long), (1, long), (2, long), (None, "some other text here"), (3, None), (3, None)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted([(2, long), (None, "some other text here")], key=str)
