@@ -14,6 +14,8 @@ from tallow.llm.suffix_dedup import drop_repeats
 
 #: Words of a shingle where near copies are sought.
 NEAR_SHINGLE = 5
+#: Bytes of a repeat that goes, so that passages of 50 words are covered, and of the grams that anchor it.
+REPEAT_BYTES, REPEAT_GRAM = 240, 32
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_repeats(docs)
+    return drop_repeats(docs, length=REPEAT_BYTES, gram=REPEAT_GRAM, keep_first=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
