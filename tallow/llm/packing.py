@@ -3,13 +3,14 @@
 A document is cut into whole sequences and pieces of capacity/2, /4, ... down to 32 tokens, and a tail of less than
 64. A piece of length s is of class k = capacity div s, the number of its like that surely fit one sequence; the
 sequence of a class is full when it holds k pieces. Each worker fills the sequences of each class on its own, by
-count alone. What stays open at the end of a worker (fewer than k pieces a class, a few thousand pieces at most) is
-filled the same way by groups of 256 workers and then once more over all groups; only the last open ones are put
-together by first fit, longest first. All classes but the tails' are exact divisors, so they leave no padding.
+count alone. What stays open at the end of a worker (fewer than k pieces a class, 4,800 pieces at most) is filled the
+same way by groups of FAN_IN workers, what these leave by groups of groups, and so on in a tree, so no task holds more
+than FAN_IN times 4,800 pieces; only the last open ones are put together by first fit, longest first. All classes but the
+tails' are exact divisors, so they leave no padding.
 
-Token ids come from the tokenizer file; an end id follows each document. Words between single spaces are encoded
-once and kept in a bounded cache: in this byte-level vocabulary no token spans such a space. A file of ranks
-(.tiktoken) of the same vocabulary gives the same ids as the .json file in a third of the time.
+Token ids come from the tokenizer file; an end id follows each document. In a byte-level vocabulary no token spans a
+single space between words, so a word is encoded once and kept in a bounded cache, and the new words of many texts are
+encoded in one call. A text with the name of a special token is encoded whole, as the tokenizer does it by default.
 
 Defined cases: null text is empty (one end id); an empty table gives an empty result; repeated rows and null ids
 are packed like any other; further columns are ignored.
@@ -17,12 +18,9 @@ are packed like any other; further columns are ignored.
 
 from __future__ import annotations
 
-import base64
 import heapq
 import os
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,56 +35,83 @@ from tallow.llm.common import materialize
 CAPACITY = 1024
 SMALLEST = 32
 END_ID = 0
-CACHE = 150_000
-FAN_IN = 256
-LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
-#: How byte-level vocabularies of this kind split a text (fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CACHE = 200_000
+FAN_IN = 64
+#: What a space is called in byte-level vocabularies (fixed value).
+SPACE = "\u0120"
+AT_ONCE = 1024  # words encoded in one call
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, worker bigint"
 NAMES = [x.split()[0] for x in PIECE.split(", ")]
 
 
 class Encoder:
-    """Ids of a text as little-endian uint32 bytes."""
+    """Ids of texts as little-endian uint32 bytes, as the tokenizer file gives them with add_special_tokens=False."""
 
     def __init__(self, path: str):
-        self.inner: dict[str, bytes] = {}
-        if path.endswith(".tiktoken"):
-            import tiktoken
-
-            with open(path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.ids = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        else:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
-            self.ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [(array("I", x) if LITTLE else np.array(x, "<u4")).tobytes() for x in map(self.ids, texts)]
+        self.inner: dict[str, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        names = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(names.values()) + 1, bool)
+        self.spaced[[i for t, i in names.items() if t.startswith(SPACE)]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        """Words without white space at either end and without a space, each as it is encoded after a space."""
+        for o in range(0, len(words), AT_ONCE):
+            some = words[o : o + AT_ONCE]
+            ids = self._ids(" " + " ".join(some))
+            first = np.flatnonzero(self.spaced[ids])
+            if len(first) != len(some):  # a vocabulary that joins words
+                self.inner.update((w, self._ids(" " + w).tobytes()) for w in some)
+                continue
+            data, edge = ids.tobytes(), (4 * np.append(first, len(ids))).tolist()
+            self.inner.update((w, data[i:j]) for w, i, j in zip(some, edge[:-1], edge[1:], strict=True))
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        parts = text.split(" ")
-        if len(parts) == 1:
-            return self._encode(parts)[0]
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[bytes]:
         if len(self.inner) > CACHE:
             self.inner.clear()
-        found = list(map(self.inner.get, parts))
-        found[0] = None
-        missing = {p for p, x in zip(parts, found, strict=True) if x is None}
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in missing):
-            parts = self._glued(parts)
-            found = [None, *map(self.inner.get, parts[1:])]
-        new = list(dict.fromkeys(p for p, x in zip(parts[1:], found[1:], strict=True) if x is None))
-        made = self._encode([parts[0], *(" " + p for p in new)])
-        self.inner.update(zip(new, made[1:], strict=True))
-        return made[0] + b"".join(map(self.inner.__getitem__, parts[1:]))
+        out: list[bytes | None] = []
+        late: list[tuple[int, list[str]]] = []
+        new: dict[str, None] = {}
+        for text in texts:
+            parts = text.split(" ")
+            found = list(map(self.inner.get, parts))
+            found[0] = b""
+            if any(x in text for x in self.special):
+                out.append(self._ids(text).tobytes())
+                continue
+            if None in found or not parts[0] or parts[0][-1].isspace():
+                missing = {p for p, x in zip(parts, found, strict=True) if x is None}
+                if not parts[0] or parts[0][-1].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in missing):
+                    parts = self._glued(parts)
+                    missing = {p for p in parts[1:] if p not in self.inner}
+                new.update(dict.fromkeys(p for p in missing if " " not in p))
+                late.append((len(out), parts))
+                out.append(None)
+            else:
+                found[0] = self._ids(parts[0]).tobytes()
+                out.append(b"".join(found))
+        self._learn(list(new))
+        for i, parts in late:
+            out[i] = self._joined(parts)
+        return out
+
+    def _joined(self, parts: list[str]) -> bytes:
+        head = self._ids(parts[0]).tobytes()
+        try:
+            return head + b"".join(map(self.inner.__getitem__, parts[1:]))
+        except KeyError:  # parts that hold runs of white space
+            return head + b"".join(x if (x := self.inner.get(p)) is not None else self._ids(" " + p).tobytes() for p in parts[1:])
 
     @staticmethod
     def _glued(parts: list[str]) -> list[str]:
@@ -170,10 +195,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, worker = Encoder(tokenizer), TaskContext.get().partitionId()
         fill, end = Filler(worker << 32, capacity), np.array([END_ID], "<u4").tobytes()
-        for b in batches:
+        for b in (x.slice(o, 128) for x in batches for o in range(0, x.num_rows, 128)):
             out: list[list] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
+            for doc, ids in zip(b.column(0).to_pylist(), encode.many([t or "" for t in b.column(1).to_pylist()]), strict=True):
+                ids += end
                 n, at = len(ids) // 4, 0
                 for size in cuts(n, capacity):
                     out += fill.add([doc, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), n, None, None, worker])
@@ -181,9 +206,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             yield _batch(out)
         yield _batch(fill.rest())
 
-    def merge(last: bool):
+    def merge(level: int, last: bool):
         def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            fill = Filler(1 << 61 if last else (1 << 60) | int(key[0]) << 32, capacity)
+            fill = Filler(1 << 61 if last else 1 << 60 | level << 56 | int(key[0]) << 32, capacity)
             # Fixed order: a lost task that runs again places the same pieces.
             rows = rows.sort_values(["worker", "doc_id", "start", "length"], kind="stable")
             out: list[list] = []
@@ -195,8 +220,15 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         return run
 
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    first = materialize(rows.mapInArrow(local, PIECE))
-    second = materialize(first.where("sequence_id IS NULL").groupBy(F.expr(f"worker div {FAN_IN}")).applyInPandas(merge(False), PIECE))
-    third = second.where("sequence_id IS NULL").groupBy(F.lit(0).alias("_all")).applyInPandas(merge(True), PIECE)
-    placed = first.where("sequence_id IS NOT NULL").unionAll(second.where("sequence_id IS NOT NULL")).unionAll(third)
+    made = [materialize(rows.mapInArrow(local, PIECE))]
+    level, workers = 0, (made[0].where("sequence_id IS NULL").agg(F.max("worker")).first()[0] or 0) + 1
+    while workers > FAN_IN:
+        level += 1
+        group = F.expr(f"worker div {FAN_IN**level}L")
+        made.append(materialize(made[-1].where("sequence_id IS NULL").groupBy(group).applyInPandas(merge(level, False), PIECE)))
+        workers = -(-workers // FAN_IN)
+    last = made[-1].where("sequence_id IS NULL").groupBy(F.lit(0).alias("_all")).applyInPandas(merge(0, True), PIECE)
+    placed = last
+    for part in made:
+        placed = placed.unionAll(part.where("sequence_id IS NOT NULL"))
     return placed.drop("worker").withColumnRenamed("doc_id", id_col)

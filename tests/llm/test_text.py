@@ -23,7 +23,6 @@ def frame(spark, rows):
 
 def packed(df, rows=None):
     tok = Tokenizer.from_file(BPE)
-    tok.encode_special_tokens = True
     rows = packing.pack(df, BPE).collect() if rows is None else rows
     want = {}
     for r in df.select("doc_id", "text").collect():
@@ -56,14 +55,22 @@ def test_packing(spark):
     assert packing.pack(frame(spark, ODD).limit(0), BPE).count() == 0
 
 
-@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "byte_bpe_50k.tiktoken"])
-def test_packing_encoder_is_the_tokenizer(file):
-    tok, enc, rng = Tokenizer.from_file(BPE), packing.Encoder(public_tokenizers.path(file)), random.Random(2)
-    tok.encode_special_tokens = True
-    bits = ["a", "Word", " ", "  ", "\n", "\t", "'s", "'", "1", "23", "é", "!", " ", " ", "\x1c", "😀", "don't", "\x85", "\xa0", "\u3000", "\u200b", "²", "ǅ", "<|endoftext|>", "\r\n"]
-    for _ in range(1500):
-        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
-        assert np.frombuffer(enc(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+def test_packing_encoder_is_the_tokenizer():
+    tok, enc, rng = Tokenizer.from_file(BPE), packing.Encoder(BPE), random.Random(2)
+    bits = ["a", "Word", " ", "  ", "\n", "\t", "'s", "'", "1", "23", "é", "!", " ", " ", "\x1c", "😀", "don't", "\x85", "\xa0", "\u3000", "\u200b", "²", "ǅ", "<|endoftext|>", "\r\n", "\u0120", "\0"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + ["x <|endoftext|> y", " ", "  ", " a"]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for t, w in zip(texts, want, strict=True):
+        assert np.frombuffer(enc(t), "<u4").tolist() == w, repr(t)
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.Encoder(BPE).many(texts)] == want
+
+
+def test_packing_in_a_tree_of_workers(spark, monkeypatch):
+    monkeypatch.setattr(packing, "FAN_IN", 2)
+    rng = random.Random(4)
+    df = frame(spark, [(i, " ".join(rng.choice(["one", "two", "three"]) for _ in range(rng.randint(0, 900)))) for i in range(90)]).repartition(9)
+    padding, total = packed(df)
+    assert padding / total < 0.05
 
 
 def test_cuts():
