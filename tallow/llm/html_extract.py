@@ -1,14 +1,20 @@
 """Main-text extraction from HTML by minimum cut.
 
-A page becomes blocks: runs of text between block-level tags, in page order, with the elements that hold them. A
-linear classifier turns what a block says of itself (its elements, their class and id words, how much of it is link
-text, its length and stops) into a cost of calling it content or boilerplate: the capacities to the two terminals.
-Smoothness edges join blocks that follow each other and, more strongly, blocks with the same parent or grandparent.
-The minimum cut, found by maximum flow, is the labelling of least cost; the content side is the text.
+A page becomes blocks: runs of text between block-level tags, in page order, with the elements that hold them. The core
+of a page is the article or main element with the most plain text (else the parent with most), preferring one that lies
+in nothing called a menu, comments or the like. A linear classifier turns what a block says of itself (the best and the
+worst of the elements that hold it, by tag, role, class and id words; whether the core holds it; how much of it is link
+text; its length and stops) into a cost of calling it content or boilerplate: the capacities to the two terminals.
+What an element is called does not count against it if it holds the core, so a wrapper named after its layout condemns
+nothing. Smoothness edges join blocks that follow each other and, more strongly, blocks with the same parent or
+grandparent; together they weigh at most 16, so a block whose own cost is below that goes with its neighbours and one
+named plainly (30) does not. The minimum cut, found by maximum flow, is the labelling of least cost; the content side is
+the text.
 
 A page is one row and its graph has at most three edges per block, so memory is bounded by the page.
 
-Defined cases: null or empty html gives an empty text; text outside any element counts; unclosed and stray tags are
+Defined cases: null or empty html gives an empty text; text outside any element counts, as does that of a page without
+any sign of either kind; unclosed and stray tags are
 put right as browsers do for paragraphs and list items; the insides of script, style and the like, comments and the
 head never count; null ids and repeated rows are extracted like any other; an empty table gives an empty result;
 further columns are ignored.
@@ -30,18 +36,21 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "noscript", "template", "textarea", "select", "svg", "iframe", "object", "math", "title", "button", "canvas", "audio", "video")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-CONTENT_TAGS = {"article": 60, "main": 40, "p": 6, "pre": 8, "blockquote": 6, "h1": 6, "h2": 4, "h3": 4, "td": 1, "li": -1}
-BOILER_TAGS = {"nav": 160, "footer": 160, "header": 120, "aside": 160, "form": 160, "menu": 160, "dialog": 160, "fieldset": 120, "figcaption": 2, "address": 20}
+CONTENT_TAGS = {"article": 10, "main": 6}
+BOILER_TAGS = {"nav": 30, "footer": 30, "aside": 30, "form": 30, "menu": 30, "dialog": 30, "fieldset": 20, "header": 30, "address": 4}
 GOOD_WORDS = frozenset("article articlebody content post entry main story body text prose".split())
 BAD_WORDS = frozenset(
-    "ad ads advert adverts advertisement banner sponsor sponsored promo promoted nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer foot header masthead "
-    "cookie cookies consent notice gdpr popup modal overlay comment comments reply replies disqus respond share sharing social related recommended widget newsletter subscribe "
-    "signup login search pagination pager copyright legal disclaimer toolbar skip hidden".split()
+    "ad ads advert adverts advertisement banner sponsor sponsored promo promoted nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead "
+    "cookie cookies consent notice gdpr popup modal overlay comment comments reply replies disqus respond thread threads discussion share sharing social related recommended widget "
+    "newsletter subscribe signup login search pagination pager copyright legal disclaimer toolbar skip hidden".split()
 )
+#: In one name with a word of the list above they tell of a state or a layout, not of what the element is.
+STATES = frozenset("has with without no not is open opened closed layout overflow enabled disabled".split())
 GOOD_ROLES = frozenset(("main", "article"))
 BAD_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"))
-WORD_COST = 160
-NEXT, SAME_PARENT, SAME_GRANDPARENT = 2, 6, 3
+BAD, GOOD_WORD, PARAGRAPH, HEADING, STOP, LINKS = 30, 4, 3, 2, 1, 14
+OUTSIDE_ARTICLE, OUTSIDE = 8, 2  # of a core that is marked up as such, and of one that is only the largest
+NEXT, SAME_PARENT, SAME_GRANDPARENT = 2, 4, 2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _RAW_END = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in RAW}
@@ -53,27 +62,34 @@ _CLOSES = {"p": frozenset("address article aside blockquote div dl fieldset foot
 
 
 class Node:
-    __slots__ = ("tag", "up", "cost")
+    """An element: what speaks for and against it by its own tag and attributes, its plain text with all it holds."""
 
-    def __init__(self, tag: str, up: Node | None, attrs: str):
-        self.tag, self.up = tag, up
-        self.cost = (up.cost if up else 0) + _element_cost(tag, attrs)
+    __slots__ = ("tag", "up", "good", "bad", "marked", "size", "index", "last", "bads", "best", "worst", "inside")
 
+    def __init__(self, tag: str, up: Node | None, attrs: str, index: int):
+        self.tag, self.up, self.index, self.last, self.size = tag, up, index, index, 0
+        self.good, self.bad, self.marked = _evidence(tag, attrs)
 
-def _element_cost(tag: str, attrs: str) -> int:
-    """Positive for content."""
-    cost = CONTENT_TAGS.get(tag, 0) - BOILER_TAGS.get(tag, 0)
+
+def _evidence(tag: str, attrs: str) -> tuple[int, int, bool]:
+    good, bad, marked = CONTENT_TAGS.get(tag, 0), BOILER_TAGS.get(tag, 0), tag in CONTENT_TAGS
     if attrs and tag not in ("html", "body"):
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'")
             if name == "role":
-                cost += 40 * (value.lower() in GOOD_ROLES) - WORD_COST * (value.lower() in BAD_ROLES)
+                marked |= value.lower() in GOOD_ROLES
+                good = max(good, CONTENT_TAGS["main"] * (value.lower() in GOOD_ROLES))
+                bad = max(bad, BAD * (value.lower() in BAD_ROLES))
             elif name == "hidden" or name == "aria-hidden":
-                cost -= WORD_COST * (value.lower() != "false")
+                bad = max(bad, BAD * (value.lower() != "false"))
             else:
-                words = set(_SPLIT.split(_CAMEL.sub(" ", value).lower()))
-                cost += (-WORD_COST if words & BAD_WORDS else 20 if words & GOOD_WORDS else 0)
-    return cost
+                for called in value.split():
+                    words = set(_SPLIT.split(_CAMEL.sub(" ", called).lower()))
+                    if words & BAD_WORDS and not words & STATES:
+                        bad = BAD
+                    elif words & GOOD_WORDS:
+                        good = max(good, GOOD_WORD)
+    return good, bad, marked
 
 
 class Block:
@@ -83,9 +99,11 @@ class Block:
         self.text, self.link, self.node = text, link, node
 
 
-def blocks(page: str) -> list[Block]:
+def blocks(page: str) -> tuple[list[Block], list[Node]]:
+    """Blocks and elements, both in page order."""
     out: list[Block] = []
-    root = node = Node("", None, "")
+    root = node = Node("", None, "", 0)
+    nodes = [root]
     parts: list[str] = []
     link, anchors, pos, n = 0, 0, 0, len(page)
 
@@ -138,18 +156,51 @@ def blocks(page: str) -> list[Block]:
             if node.tag in _CLOSES and tag in _CLOSES[node.tag]:
                 node = node.up
             if tag not in VOID:
-                node = Node(tag, node, m[3])
+                node = Node(tag, node, m[3], len(nodes))
+                nodes.append(node)
     end()
-    return out
+    return out, nodes
 
 
-def costs(found: list[Block]) -> list[tuple[int, int]]:
+def core_of(found: list[Block], nodes: list[Node]) -> Node:
+    """The element that holds the main text, as far as elements tell. Sets sizes and how many elements called something
+    that is boilerplate hold each element."""
+    own = [0] * len(nodes)
+    for b in found:
+        b.node.size += (plain := max(0, len(b.text) - b.link))
+        own[b.node.up.index if b.node.tag in ("p", "li", *HEADINGS) and b.node.up else b.node.index] += plain
+    for x in reversed(nodes[1:]):
+        x.up.size += x.size
+        x.up.last = max(x.up.last, x.last)
+    for x in nodes:
+        x.bads = (x.up.bads if x.up else 0) + (x.bad >= BOILER_TAGS["fieldset"])
+    marked = [x for x in nodes if x.marked and x.bad < BOILER_TAGS["fieldset"] and x.size]
+    if not marked:
+        return min(nodes, key=lambda x: (x.bads, -own[x.index], x.index) if own[x.index] else (len(nodes), 0, x.index))
+    core = min(marked, key=lambda x: (x.bads, -x.size, x.index))
+    for x in marked:  # the innermost that has most of it
+        if core.index < x.index <= core.last and x.bads == core.bads and 2 * x.size >= core.size:
+            core = x
+    return core
+
+
+def costs(found: list[Block], nodes: list[Node]) -> list[tuple[int, int]]:
     """(cost of boilerplate, cost of content) of each block."""
+    if not found:
+        return []
+    core = core_of(found, nodes)
+    away = OUTSIDE_ARTICLE if core.marked else OUTSIDE
+    for x in nodes:
+        around = x.index <= core.index <= x.last
+        x.inside = core.index <= x.index <= core.last
+        bad = 0 if around else x.bad if x.tag != "header" or not x.inside else 4
+        x.best = max(x.up.best if x.up else 0, x.good)
+        x.worst = max(x.up.worst if x.up else 0, bad)
     out = []
     for b in found:
-        words, dense = b.text.count(" ") + 1, min(1.0, b.link / max(1, len(b.text)))
-        score = b.node.cost + min(12, words // 4) - 4 + 3 * (b.text[-1] in ".!?:;…\"”") - int(24 * dense * (b.node.cost <= 60))
-        score += 4 * (b.node.tag in HEADINGS and b.node.cost > 0)
+        x, words, dense = b.node, b.text.count(" ") + 1, min(1.0, b.link / max(1, len(b.text)))
+        score = 1 + x.best - x.worst - away * (not x.inside) + min(6, words // 8) - int(LINKS * dense)
+        score += PARAGRAPH * (x.tag in ("p", "pre", "blockquote")) + HEADING * (x.tag in HEADINGS) + STOP * (b.text[-1] in ".!?:;…\"”")
         out.append((score, 0) if score > 0 else (0, -score))
     return out
 
@@ -214,9 +265,9 @@ class Flow:
         return [x >= 0 for x in level]
 
 
-def label(found: list[Block]) -> list[bool]:
+def label(found: list[Block], nodes: list[Node]) -> list[bool]:
     """Content or not, by minimum cut. Where all blocks lean one way, that is the cut."""
-    terms = costs(found)
+    terms = costs(found, nodes)
     if all(a > 0 for a, _ in terms) or not any(a > 0 for a, _ in terms):
         return [a > 0 for a, _ in terms]
     n = len(found)
@@ -243,8 +294,10 @@ def label(found: list[Block]) -> list[bool]:
 
 
 def extract_text(page: str | None) -> str:
-    found = blocks(page) if page else []
-    return "\n".join(b.text for b, keep in zip(found, label(found), strict=True) if keep)
+    if not page:
+        return ""
+    found, nodes = blocks(page)
+    return "\n".join(b.text for b, keep in zip(found, label(found, nodes), strict=True) if keep)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
