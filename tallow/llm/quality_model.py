@@ -1,12 +1,14 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages of 100 words, all of its text. Each passage is encoded by FEATURES numbers and one
-learned layer; gated attention weighs the passages (tanh and sigmoid branches, as in the published method) and the
-weighted sum is scored. Only document labels are learned from.
+A document is a bag of passages of PASSAGE words, all of its text. Each passage is encoded by itself: shares of character
+classes, lengths and variety of its words, and its byte 3-grams (A-Z lowered) hashed to GRAMS classes; nothing of the
+rest of the document enters. A learned layer, gated attention (tanh and sigmoid branches, as in the published method)
+and a score of the weighted passage representation follow. Only document labels are learned from.
 
 The fit is on at most `sample` labelled documents, those with the smallest hash of the id among rows whose
-crc32(doc_id) mod 4 is not 2, so it is bounded whatever the input; it runs on the driver and the weights (a few
-thousand numbers) go out with the scoring function.
+crc32(doc_id) mod 4 is not 2, and on at most `passages` passages of each, spread evenly over it, so it is bounded whatever
+the input; it runs on the driver and the weights (a few thousand numbers) go out with the scoring function. Scoring reads
+all passages.
 
 Defined cases: null text counts as empty; an empty text has one passage of zeros and gets a score; rows with a null
 id are scored and never learned from or held out; a document labelled more than once counts with its smallest label;
@@ -25,64 +27,107 @@ from pyspark.sql import functions as F
 from tallow.llm.common import split_of
 
 PASSAGE = 100
-SAMPLE = 3000
+SAMPLE, PASSAGES = 3000, 32
 HELD_OUT, HELD = 4, 2
 KEEP_AT = 0.7
 HIDDEN, GATE = 16, 8
-EPOCHS, RATE, DECAY = 250, 0.02, 1e-4
-
-_CLASSES = {"symbol": b"#*$%&|<>^~=_+@\\{}[]", "mark": b"!?", "stop": b".,;:", "digit": b"0123456789", "upper": bytes(range(65, 91)), "space": b" \t\n\r\x0b\x0c", "line": b"\n"}
-_KIND = np.zeros((256, len(_CLASSES) + 1), np.int32)
-for _i, _c in enumerate(_CLASSES.values()):
-    _KIND[np.frombuffer(_c, np.uint8), _i] = 1
-_KIND[128:, -1] = 1
-_SPACE = np.zeros(256, bool)
-_SPACE[np.frombuffer(_CLASSES["space"], np.uint8)] = True
-FEATURES = 7 + 9
-
-
-def encode(text: str | None) -> np.ndarray:
-    """[passages, FEATURES] of float32."""
-    data = (text or "").encode("utf-8", "replace")
-    words = data.split()
-    n = len(words)
-    if not n:
-        return np.zeros((1, FEATURES), np.float32)
-    a = np.frombuffer(data, np.uint8)
+EPOCHS, RATE, DECAY = 150, 0.02, 1e-3
+GRAM_WEIGHT = 0.2  # of the many classes of 3-grams against the few other features
+CHUNK = 1 << 20  # bytes of text encoded at once
+
+CLASSES = {"symbol": b"#*$%&|<>^~=_+@\\{}[]", "mark": b"!?", "stop": b".,;:", "digit": b"0123456789", "upper": bytes(range(65, 91)), "line": b"\n"}
+ENDS = b"#*$%&|!<>"
+GRAMS = 256
+MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)  # odd multipliers of a byte's place in a 3-gram
+FEATURES = len(CLASSES) + 7 + GRAMS
+
+
+def _flags(of: bytes) -> np.ndarray:
+    found = np.zeros(256, bool)
+    found[np.frombuffer(of, np.uint8)] = True
+    return found
+
+
+_KINDS = [*(_flags(c) for c in CLASSES.values()), np.arange(256) > 127]
+_SPACE, _END = _flags(b" \t\n\r\x0b\x0c"), _flags(ENDS)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
+_BASE, _INV = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, base, np.uint64))), dtype=np.uint64)
+
+
+def _distinct(part: np.ndarray, keys: np.ndarray, parts: int) -> np.ndarray:
+    """Number of distinct keys in each part."""
+    order = np.lexsort((keys, part))
+    p, k = part[order], keys[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (p[1:] != p[:-1]) | (k[1:] != k[:-1])
+    return np.bincount(p[new], minlength=parts)
+
+
+def encode_many(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Passages of all texts, [passages, FEATURES] of float32, and the first row of each text."""
+    lens = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(lens + 1) - lens - 1  # a space between texts
+    a = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     gap = _SPACE[a]
-    starts = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))[::PASSAGE]
-    parts = len(starts)
-    size = np.diff(np.append(starts, len(a))).astype(np.float64)
-    total = np.stack([np.add.reduceat(_KIND[:, k].take(a), starts) for k in range(_KIND.shape[1])], 1) / size[:, None]
-    out = np.zeros((parts, FEATURES), np.float64)
-    out[:, :7] = total[:, [0, 1, 2, 3, 4, 6, 7]]
-    lines = [x for x in data.split(b"\n") if x.strip()]
-    copied = 1 - len(set(lines)) / max(1, len(lines))
-    pairs = list(zip(words, words[1:], words[2:], strict=False))
-    repeated = 1 - len(set(pairs)) / max(1, len(pairs))
-    for p in range(parts):
-        own = words[p * PASSAGE : (p + 1) * PASSAGE]
-        k = len(own)
-        distinct = set(own)
-        out[p, 7] = np.log1p(k)
-        out[p, 8] = sum(map(len, own)) / k
-        out[p, 9] = len(distinct) / k
-        three = pairs[p * PASSAGE : p * PASSAGE + k]
-        out[p, 10] = len(set(three)) / max(1, len(three))
-        out[p, 11] = max(map(len, own)) / 20
-        out[p, 12] = sum(1 for w in own if w[-1:] in b"#*$%&|!<>") / k
-    out[:, 13], out[:, 14], out[:, 15] = copied, repeated, np.log1p(n)
-    return out.astype(np.float32)
+    edge = np.diff(np.concatenate(([1], gap.view(np.int8), [1])))
+    head, tail = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)  # of words
+    text = np.searchsorted(begin, head, side="right") - 1
+    n_words = np.bincount(text, minlength=len(texts))
+    place = np.arange(len(head)) - (np.cumsum(n_words) - n_words)[text]
+    lead = np.flatnonzero(place % PASSAGE == 0)  # first words of passages
+    counts = np.maximum(1, -(-n_words // PASSAGE))
+    first = np.cumsum(counts) - counts
+    out = np.zeros((int(counts.sum()), FEATURES), np.float32)
+    if not len(lead):
+        return out, first
+    rows = first[text[lead]] + place[lead] // PASSAGE  # texts without words keep a row of zeros
+    parts = len(lead)
+    lo, hi = head[lead], (begin + lens)[text[lead]]
+    same = text[lead][1:] == text[lead][:-1]
+    hi[:-1][same] = lo[1:][same]
+    size = hi - lo
+    made = np.empty((parts, FEATURES), np.float32)
+    for c, kind in enumerate(_KINDS):
+        total = np.concatenate(([0], np.cumsum(kind[a])))
+        made[:, c] = (total[hi] - total[lo]) / size
+    c = len(_KINDS)
+    part = np.repeat(np.arange(parts), np.diff(np.append(lead, len(head))))  # of words
+    k = np.bincount(part, minlength=parts)
+    width = tail - head
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(_TABLE[a] * _powers(_BASE, len(a))[:-1], dtype=np.uint64)))
+    word = (sums[tail] - sums[head]) * _powers(_INV, len(a))[head]
+    made[:, c] = np.log1p(k)
+    made[:, c + 1] = np.bincount(part, width, parts) / k
+    made[:, c + 2] = _distinct(part, word, parts) / k
+    whole = np.flatnonzero(text[2:] == text[:-2]) if len(text) > 2 else np.zeros(0, np.int64)
+    triple = word[whole] * np.uint64(3) + word[whole + 1] * np.uint64(_BASE) + word[whole + 2] * np.uint64(_INV) if len(whole) else np.zeros(0, np.uint64)
+    made[:, c + 3] = _distinct(part[whole], triple, parts) / np.maximum(1, np.bincount(part[whole], minlength=parts))
+    made[:, c + 4] = np.maximum.reduceat(width, lead) / 20
+    made[:, c + 5] = np.bincount(part, _END[a[tail - 1]], parts) / k
+    low = _LOWER[a].astype(np.uint32)
+    mixed = ((low[:-2] * np.uint32(MIX[0]) + low[1:-1] * np.uint32(MIX[1]) + low[2:] * np.uint32(MIX[2])) >> np.uint32(24)) if len(low) > 2 else np.zeros(0, np.uint32)
+    grams = np.maximum(0, size - 2)
+    at = np.repeat(lo, grams) + np.arange(grams.sum()) - np.repeat(np.cumsum(grams) - grams, grams)
+    seen = np.bincount(np.repeat(np.arange(parts) * GRAMS, grams) + mixed[at], minlength=parts * GRAMS).reshape(parts, GRAMS)
+    made[:, c + 6 :] = np.sqrt(seen / size[:, None])
+    out[rows] = made
+    return out, first
 
 
 class Model:
     """Layer, gated attention and score; bags are rows of one matrix, delimited by their first rows."""
 
-    def __init__(self, seed: int = 7):
+    def __init__(self, seed: int = 7, features: int = FEATURES):
         rng = np.random.default_rng(seed)
         draw = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
-        self.mean, self.scale = np.zeros(FEATURES), np.ones(FEATURES)
-        self.w = {"W": draw(FEATURES, HIDDEN), "b": np.zeros(HIDDEN), "V": draw(HIDDEN, GATE), "U": draw(HIDDEN, GATE), "a": draw(GATE), "c": draw(HIDDEN), "d": np.zeros(1)}
+        self.mean, self.scale = np.zeros(features), np.ones(features)
+        self.w = {"W": draw(features, HIDDEN), "b": np.zeros(HIDDEN), "V": draw(HIDDEN, GATE), "U": draw(HIDDEN, GATE), "a": draw(GATE), "c": draw(HIDDEN), "d": np.zeros(1)}
         self.fitted = False
 
     def forward(self, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, dict]:
@@ -96,27 +141,35 @@ class Model:
         z = np.add.reduceat(att[:, None] * h, first)
         return z @ w["c"] + w["d"], {"h": h, "t": t, "g": g, "att": att, "bag": bag, "z": z}
 
+    def gradient(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean logistic loss."""
+        w, (logit, f) = self.w, self.forward(x, first)
+        err = (1 / (1 + np.exp(-logit)) - y) / len(y)
+        grad = {"c": f["z"].T @ err, "d": np.array([err.sum()])}
+        dzb = (err[:, None] * w["c"])[f["bag"]]
+        datt = (dzb * f["h"]).sum(1)
+        mean = np.add.reduceat(f["att"] * datt, first)[f["bag"]]
+        de = f["att"] * (datt - mean)
+        grad["a"] = (f["t"] * f["g"]).T @ de
+        dt, dg = de[:, None] * w["a"] * f["g"] * (1 - f["t"] ** 2), de[:, None] * w["a"] * f["t"] * f["g"] * (1 - f["g"])
+        grad["V"], grad["U"] = f["h"].T @ dt, f["h"].T @ dg
+        dh = (f["att"][:, None] * dzb + dt @ w["V"].T + dg @ w["U"].T) * (1 - f["h"] ** 2)
+        grad["W"], grad["b"] = x.T @ dh, dh.sum(0)
+        return grad
+
+    def _scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -6, 6)
+
     def fit(self, bags: list[np.ndarray], y: np.ndarray) -> Model:
         x = np.concatenate(bags).astype(np.float64)
         first = np.cumsum([0, *map(len, bags)])[:-1]
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
-        x = np.clip((x - self.mean) / self.scale, -6, 6)
+        self.scale[FEATURES - GRAMS :] /= GRAM_WEIGHT
+        x = self._scaled(x)
         w = self.w
         m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
         for step in range(1, EPOCHS + 1):
-            logit, f = self.forward(x, first)
-            err = (1 / (1 + np.exp(-logit)) - y) / len(y)
-            grad = {"c": f["z"].T @ err, "d": np.array([err.sum()])}
-            dz = err[:, None] * w["c"]
-            dzb = dz[f["bag"]]
-            datt = (dzb * f["h"]).sum(1)
-            mean = np.add.reduceat(f["att"] * datt, first)[f["bag"]]
-            de = f["att"] * (datt - mean)
-            grad["a"] = (f["t"] * f["g"]).T @ de
-            dt, dg = de[:, None] * w["a"] * f["g"] * (1 - f["t"] ** 2), de[:, None] * w["a"] * f["t"] * f["g"] * (1 - f["g"])
-            grad["V"], grad["U"] = f["h"].T @ dt, f["h"].T @ dg
-            dh = (f["att"][:, None] * dzb + dt @ w["V"].T + dg @ w["U"].T) * (1 - f["h"] ** 2)
-            grad["W"], grad["b"] = x.T @ dh, dh.sum(0)
+            grad = self.gradient(x, first, y)
             for k in w:
                 q = grad[k] + DECAY * w[k]
                 m[k] = 0.9 * m[k] + 0.1 * q
@@ -126,29 +179,51 @@ class Model:
         return self
 
     def scores(self, bags: list[np.ndarray]) -> np.ndarray:
-        if not self.fitted or not bags:
-            return np.full(len(bags), 0.5)
-        x = np.clip((np.concatenate(bags).astype(np.float64) - self.mean) / self.scale, -6, 6)
-        logit, _ = self.forward(x, np.cumsum([0, *map(len, bags)])[:-1])
-        return 1 / (1 + np.exp(-logit))
+        return self.scored(np.concatenate(bags), np.cumsum([0, *map(len, bags)])[:-1]) if bags else np.zeros(0)
+
+    def scored(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
+        if not self.fitted:
+            return np.full(len(first), 0.5)
+        return 1 / (1 + np.exp(-self.forward(self._scaled(x.astype(np.float64)), first)[0]))
+
+
+def _chunks(texts: Iterator[pa.Scalar]) -> Iterator[list[bytes]]:
+    held: list[bytes] = []
+    size = 0
+    for t in texts:
+        held.append((t.as_py() or "").encode("utf-8", "replace"))
+        size += len(held[-1])
+        if size >= CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
-def encoded(docs: DataFrame) -> DataFrame:
-    """(label, text) -> (label, passages as bytes)."""
+def encoded(docs: DataFrame, passages: int) -> DataFrame:
+    """(doc_id, label, text) -> (doc_id, label, passages as bytes), at most so many of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([encode(t.as_py()).tobytes() for t in b.column(2)], pa.binary())], ["doc_id", "label", "x"])
+            data = []
+            for texts in _chunks(b.column(2)):
+                x, first = encode_many(texts)
+                for own in np.split(x, first[1:]):
+                    some = own if len(own) <= passages else own[np.linspace(0, len(own) - 1, passages).astype(int)]
+                    data.append(some.astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary())], ["doc_id", "label", "x"])
 
     return docs.mapInArrow(run, "doc_id bigint, label int, x binary")
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: int = PASSAGES) -> Model:
     ids = labels.where(F.col("quality").isNotNull() & (split_of("doc_id", HELD_OUT) != HELD)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = encoded(own.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")).collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.x)))
+    # Rows that repeat an id count once, so the sample bounds what the driver gets.
+    found = encoded(own.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text"), passages)
+    rows = found.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x")).collect()
+    rows.sort(key=lambda r: r.doc_id)
     model = Model()
     if not rows:
         return model
@@ -160,8 +235,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bags = [encode(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(bags), pa.float64())], ["doc_id", "score"])
+            found = [model.scored(*encode_many(texts)) for texts in _chunks(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("_text")).mapInArrow(run, f"doc_id {kind}, score double")

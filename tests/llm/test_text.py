@@ -1,6 +1,9 @@
 import hashlib
+import html
 import itertools
+import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -199,13 +202,89 @@ PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style></head><
 
 def test_html(spark):
     assert html_extract.extract_text(PAGE) == "Title & more\nFirst bold text.\nSecond one."
-    assert html_extract.extract_text("just text") == "just text" or html_extract.extract_text("just text") == ""
+    assert html_extract.extract_text("just text") == "just text"
     rows = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (None, "v", ""), (1, "u", PAGE), (3, "w", "<p>" * 3000 + "deep text here."), (4, "x", "<nav>" + "<a>l</a>" * 3)], "page_id bigint, url string, html string")
     got = html_extract.extract(rows).collect()
     assert len(got) == 6 and all(r.n_chars == len(r.text) for r in got) and {r.text for r in got if r.page_id in (2, None, 4)} == {""}
     assert html_extract.extract(rows.limit(0)).count() == 0
 
 
+ARTICLE = "<article><h1>Head line</h1><p>First paragraph of the story, long enough to read.</p><p>Second one.</p></article>"
+TEXT = "Head line\nFirst paragraph of the story, long enough to read.\nSecond one."
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        "{}", '<div class="layout has-sidebar">{}</div>', '<div class="overflow-hidden">{}</div>', '<div id="page" class="comments-open">{}</div>', '<div class="nav-layout">{}</div>',
+        '<form action="/"><div class="footer-fixed header-top">{}</div></form>', '<main>{}</main><div class="thread"><p>I read all of it, and I agree with every word of it, truly.</p></div>',
+        '<nav><ul><li><a href="/">Home</a><li><a href="/b">B</a></ul></nav>{}<section id="comments"><article><p>' + "A very long comment of a reader. " * 30 + "</p></article></section>",
+        '<div class="content">{}<div class="cookie-banner">We use cookies.</div></div><footer>Imprint</footer>',
+    ],
+)
+def test_html_wrappers(wrap):
+    assert html_extract.extract_text(f"<html><body>{wrap.format(ARTICLE)}</body></html>") == TEXT
+
+
+def test_html_cut_is_not_a_threshold():
+    long = "<p>" + "Words of the story go on and on here. " * 5 + "</p>"
+    page = f'<body><div>{long}<p><a href="/x">See the whole table</a></p>{long}</div><ul><li><a href="/a">One</a><li><a href="/b">Two</a></ul></body>'
+    found, nodes = html_extract.blocks(page)
+    alone = [a > 0 for a, _ in html_extract.costs(found, nodes)]
+    assert alone == [True, False, True, False, False]
+    assert html_extract.label(found, nodes) == [True, True, True, False, False]
+
+
+def cut_cost(found, terms, keep):
+    cost, last = sum(b if k else a for (a, b), k in zip(terms, keep, strict=True)), {}
+    for i, b in enumerate(found):
+        cost += html_extract.NEXT * (i > 0 and keep[i] != keep[i - 1])
+        up = b.node
+        for weight in (html_extract.SAME_PARENT, html_extract.SAME_GRANDPARENT):
+            up = up.up if up is not None else None
+            if up is not None and up.tag not in ("", "html", "body"):
+                j = last.get((weight, id(up)))
+                cost += weight * (j is not None and keep[i] != keep[j])
+                last[weight, id(up)] = i
+    return cost
+
+
+def test_html_labels_by_brute_force():
+    rng = random.Random(3)
+    tags, names = ["div", "p", "section", "article", "aside", "li", "h2", "header"], ["", ' class="ad"', ' class="post"', ' id="comments"', ' class="has-menu"']
+    moved = 0
+    for _ in range(150):
+        page = ""
+        for _ in range(rng.randint(1, 9)):
+            t = rng.choice(tags)
+            text = "word " * rng.randint(1, 30) + rng.choice(["", ".", "<a>link text of it</a>"])
+            page += f"<{t}{rng.choice(names)}>" * rng.randint(0, 1) + rng.choice([text, f"<p>{text}</p>", f"<a>{text}</a>"]) + rng.choice(["", f"</{t}>"])
+        found, nodes = html_extract.blocks(page)
+        if not 0 < len(found) <= 10:
+            continue
+        terms, keep = html_extract.costs(found, nodes), html_extract.label(found, nodes)
+        assert cut_cost(found, terms, keep) == min(cut_cost(found, terms, k) for k in itertools.product((False, True), repeat=len(found)))
+        moved += keep != [a > 0 for a, _ in terms]
+    assert moved > 5
+
+
+def test_html_table_by_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        parts = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", re.sub("<br>", " ", x))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
+        assert got[r.page_id] == "\n".join(p for p in parts if p)
+
+
+def test_html_odd_tables(spark):
+    deep = "<div>" * 20_000 + "<p>Deep text of a page.</p>"
+    long = "<article>" + "<p>One more paragraph of a long page.</p>" * 20_000 + "</article>"
+    rows = spark.createDataFrame([(1, "u", deep, "x", 1), (1, "u", deep, "y", 2), (2, "v", long, None, None)], "page_id bigint, url string, html string, text string, _id int")
+    got = html_extract.extract(rows).collect()
+    assert [r.n_chars for r in sorted(got, key=lambda r: r.page_id)] == [20, 20, 35 * 20_000 - 1]
+
+
 def test_min_cut_by_brute_force():
     rng = random.Random(8)
     for _ in range(60):
@@ -233,14 +312,100 @@ def test_quality_model(spark):
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
     assert quality_model.classify(frame(spark, ODD), labels.limit(0)).select("score").distinct().collect()[0][0] == 0.5
     assert quality_model.classify(frame(spark, ODD).limit(0), labels).count() == 0
+    odd = spark.createDataFrame([(6, 1), (6, 0), (None, 1), (9, None), (5, 1)], "doc_id bigint, quality int")
+    assert quality_model.classify(frame(spark, [*ODD, *ODD]), odd).count() == 2 * len(ODD)
+
+
+def plain_passages(text):
+    """The features of a text's passages, without numpy."""
+    data = (text or "").encode()
+    words = [(m.start(), m.group()) for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", data)]
+    if not words:
+        return [[0.0] * quality_model.FEATURES]
+    out = []
+    for p in range(0, len(words), quality_model.PASSAGE):
+        own = [w for _, w in words[p : p + quality_model.PASSAGE]]
+        lo = words[p][0]
+        hi = words[p + quality_model.PASSAGE][0] if p + quality_model.PASSAGE < len(words) else len(data)
+        part, k = data[lo:hi], len(own)
+        row = [sum(c in cls for c in part) / len(part) for cls in quality_model.CLASSES.values()] + [sum(c > 127 for c in part) / len(part)]
+        triples = [tuple(w for _, w in words[i : i + 3]) for i in range(p, p + k) if i + 3 <= len(words)]
+        row += [math.log1p(k), sum(map(len, own)) / k, len(set(own)) / k, len(set(triples)) / max(1, len(triples)), max(map(len, own)) / 20, sum(w[-1] in quality_model.ENDS for w in own) / k]
+        grams, low = [0] * quality_model.GRAMS, part.lower()
+        for i in range(len(low) - 2):
+            a, b, c = low[i : i + 3]
+            x = (a * quality_model.MIX[0] + b * quality_model.MIX[1] + c * quality_model.MIX[2]) % (1 << 32)
+            grams[x >> 24] += 1
+        out.append(row + [math.sqrt(g / len(part)) for g in grams])
+    return out
+
+
+def plain_score(model, rows):
+    w = {k: v.tolist() for k, v in model.w.items()}
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    dot = lambda u, m, j: sum(a * r[j] for a, r in zip(u, m, strict=True))
+    hidden, energy = [], []
+    for r in rows:
+        x = [min(6, max(-6, (v - m) / s)) for v, m, s in zip(r, model.mean.tolist(), model.scale.tolist(), strict=True)]
+        h = [math.tanh(dot(x, w["W"], j) + w["b"][j]) for j in range(quality_model.HIDDEN)]
+        hidden.append(h)
+        energy.append(sum(math.tanh(dot(h, w["V"], j)) * sig(dot(h, w["U"], j)) * w["a"][j] for j in range(quality_model.GATE)))
+    total = sum(map(math.exp, energy))
+    z = [sum(math.exp(e) / total * h[j] for e, h in zip(energy, hidden, strict=True)) for j in range(quality_model.HIDDEN)]
+    return sig(sum(a * b for a, b in zip(z, w["c"], strict=True)) + w["d"][0])
+
+
+def test_quality_scores_by_plain_python(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality_model.learn(docs, labels)
+    table = docs.unionByName(frame(spark, ODD).select("doc_id", "text"), allowMissingColumns=True).where("length(coalesce(text, '')) < 5000")
+    texts = [r.text for r in table.collect()]
+    for text in texts[::7]:
+        got = quality_model.encode_many([(text or "").encode()])[0]
+        assert np.allclose(got, np.array(plain_passages(text)), atol=1e-5)
+    got = sorted((str(r.doc_id), r.score) for r in quality_model.score(table, model).collect())
+    want = sorted((str(r.doc_id), plain_score(model, plain_passages(r.text))) for r in table.collect())
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-4)
 
 
 def test_attention_gradient():
     rng = np.random.default_rng(0)
-    m = quality_model.Model()
-    x, first = rng.normal(size=(9, quality_model.FEATURES)), np.array([0, 2, 6])
+    m = quality_model.Model(features=5)
+    x, first, y = rng.normal(size=(9, 5)), np.array([0, 2, 6]), np.array([1.0, 0.0, 1.0])
     logit, f = m.forward(x, first)
     assert np.allclose(np.add.reduceat(f["att"], first), 1) and logit.shape == (3,)
+    loss = lambda: float((np.logaddexp(0, m.forward(x, first)[0]) - y * m.forward(x, first)[0]).mean())
+    grad = m.gradient(x, first, y)
+    for name, w in m.w.items():
+        for i in np.ndindex(w.shape):
+            kept = w[i]
+            w[i] = kept + 1e-5
+            up = loss()
+            w[i] = kept - 1e-5
+            down = loss()
+            w[i] = kept
+            assert abs((up - down) / 2e-5 - grad[name][i]) < 1e-7, (name, i)
+
+
+def test_attention_finds_the_passage_that_decides():
+    rng = random.Random(5)
+    common = ["".join(rng.choice("aeiourstln") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+
+    def bag(label):
+        parts = [" ".join(rng.choice(common) for _ in range(quality_model.PASSAGE)) for _ in range(rng.randint(6, 14))]
+        if not label:
+            k = rng.randrange(len(parts))
+            parts[k] = " ".join(rng.choice(["zzgqx", "qqwvz", "xkzjq"]) if rng.random() < 0.5 else rng.choice(common) for _ in range(quality_model.PASSAGE))
+        return " ".join(parts).encode()
+
+    y = np.array([i % 2 for i in range(400)], float)
+    texts = [bag(v) for v in y]
+    bags = [quality_model.encode_many([t])[0] for t in texts]
+    model = quality_model.Model().fit(bags[:300], y[:300])
+    right = lambda: float(((model.scores(bags[300:]) >= 0.5) == y[300:]).mean())
+    attended = right()
+    model.w["a"] = np.zeros_like(model.w["a"])
+    assert attended > 0.95 and right() < attended - 0.1
 
 
 def test_rules_and_licences(spark):
