@@ -15,11 +15,12 @@ their first bytes and, where these tie, by the ranks of the sampled suffixes tha
 is a shift of at most 2 that takes both into the sample, so no comparison reads on through a long tie. Only the
 first `length` bytes count, so ranks stop at half of them; two of them and the bytes at the ends span a window.
 
-A bucket of more than MOST segments is dealt once more, by a finer splitter: the 128-bit hash of the window itself.
-What has no partner stops there; the windows that meet are sorted in blocks like all others. So no block and no task
-holds a bucket that grows with the data, and every repeat is found by the sort.
+A bucket of more than MOST segments is dealt once more, by a finer splitter: its windows are taken in groups by their
+place to the anchor, 64 at a time, and a group goes by the hash of the bytes that its windows have in common, which equal
+windows share. What has no partner stops there. What is still too large is dealt by groups of 16, 4 and 1; a group of 1 is
+the window itself. So no block and no task holds a bucket that grows with the data, and every repeat is found by the sort.
 
-Occurrences of one segment are told by 128 bits of hash (64 of the anchor, 64 of the segment).
+Occurrences of one segment, or of one string of a finer bucket, are told by 128 bits of hash (64 of the bucket's key).
 
 `keep_first` leaves the first occurrence of what repeats, in order of id (null first), hash of text and start: a byte goes
 if a window over it equals one that starts earlier. So of a text that repeats itself the first period stays.
@@ -279,42 +280,35 @@ def sorted_buckets(segments: DataFrame, length: int = LENGTH) -> DataFrame:
     return dealt.mapInArrow(run, VERDICT)
 
 
-def _hot_windows(segments: DataFrame, length: int) -> DataFrame:
-    """Windows of buckets too large for a block: (anchor, seg, i, copy, _id, _th, start, h1, h2)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "seg", "i", "copy", "_id", "_th", "start", "h1", "h2"]
-        for b in (x.slice(o, 512) for x in batches for o in range(0, x.num_rows, 512)):
-            n = b.column(7).to_numpy()
-            row = np.repeat(np.arange(b.num_rows), n)
-            inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            datas = b.column(8).to_pylist()
-            both = np.empty((len(row), 2), np.uint64)
-            for k, (r, i) in enumerate(zip(row.tolist(), inner.tolist(), strict=True)):
-                both[k] = divmod(xxhash.xxh3_128_intdigest(datas[r][i : i + length]), 1 << 64)
-            take = pa.array(row)
-            hashes = (pa.array(np.ascontiguousarray(both[:, c]).view(np.int64)) for c in (0, 1))
-            at = pa.array(b.column(6).to_numpy()[row] + inner)
-            yield pa.RecordBatch.from_arrays([b.column(1).take(take), b.column(2).take(take), pa.array(inner.astype(np.int32)), b.column(3).take(take), b.column(4).take(take), b.column(5).take(take), at, *hashes], names)
-
-    return segments.select(*_SORTED).mapInArrow(run, "anchor bigint, seg bigint, i int, copy int, _id bigint, _th bigint, start bigint, h1 bigint, h2 bigint")
-
-
-def _hot_verdicts(segments: DataFrame, length: int) -> DataFrame:
-    """The same result for buckets of any size: of the windows that meet by their hash, two each are sorted."""
-    windows = materialize(_hot_windows(segments, length))
-    place = F.struct("_id", "_th", "start", "anchor", "seg", "i", "copy")
-    met = materialize(windows.groupBy("h1", "h2").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.count("*").alias("_c")).where("_c > 1").drop("_c"))
-    wanted = met.select("h1", "h2", F.posexplode(F.array("p", "q")).alias("k", "p")).select("h1", "h2", "k", "p.anchor", "p.seg", "p.i", "p.copy")
-    by_segment = wanted.groupBy(F.col("anchor").alias("k1"), F.col("seg").alias("k2"), "copy").agg(F.collect_list(F.struct("h1", "h2", "k", "i")).alias("parts"))
-    cut = segments.join(by_segment, ["k1", "k2", "copy"]).select("_id", "_th", "start", "bytes", F.explode("parts").alias("p"))
-    strings = cut.selectExpr("p.h1 AS bucket", "p.h1 AS k1", "p.h2 AS k2", "p.k AS copy", "_id", "_th", "start + p.i AS start", "1 AS n", f"substring(bytes, p.i + 1, {length}) AS bytes")
-    found = sorted_buckets(materialize(strings), length).select(F.col("k1").alias("h1"), F.col("k2").alias("h2"))
-    firsts = materialize(found.join(met, ["h1", "h2"]).selectExpr("h1", "h2", "struct(p._id, p._th, p.start) AS a"))
-    one = F.struct(F.col("i").alias("s"), F.lit(1).alias("n"))
-    flags = windows.where("copy = 0").join(firsts, ["h1", "h2"])
-    flags = flags.groupBy("anchor", "seg").agg(F.collect_list(one).alias("rep"), F.collect_list(F.when(~F.expr("struct(_id, _th, start) <=> a"), one)).alias("own"))
-    return flags.select(F.col("anchor").alias("k1"), F.col("seg").alias("k2"), "rep", "own")
+def _finer(strings: DataFrame, length: int, step: int) -> DataFrame:
+    """Strings of large buckets cut into groups of windows: (k1, k2, copy, i, sub1, sub2, place, bytes)."""
+    groups = strings.select("*", F.explode(F.expr(f"sequence((lead - n + 1) div {step}, lead div {step})")).alias("g"))
+    first, last = f"greatest(0, lead - (g + 1) * {step} + 1)", f"least(n - 1, lead - g * {step})"
+    groups = groups.selectExpr("*", f"CAST({first} AS INT) AS i", f"CAST({last} - {first} + 1 AS INT) AS _n", f"substring(bytes, CAST(lead - g * {step} + 1 AS INT), {length - step + 1}) AS _core")
+    groups = groups.selectExpr("*", f"substring(bytes, i + 1, _n + {length - 1}) AS _bytes", "CAST(lead - i AS INT) AS _lead")
+    place = F.struct("_id", "_th", (F.col("start") + F.col("i")).alias("start"), F.col("_n").alias("n"), F.col("_lead").alias("lead"))
+    return groups.select("k1", "k2", "copy", "i", F.xxhash64("bucket", "g", "_core").alias("sub1"), F.xxhash64(F.lit(step), "_n", "_bytes").alias("sub2"), place.alias("place"), F.col("_bytes").alias("bytes"))
+
+
+def _verdicts(strings: DataFrame, crowded: bool, length: int, step: int) -> DataFrame:
+    """(bucket, k1, k2, copy, _id, _th, start, n, lead, bytes, hot) -> (k1, k2, rep, own)."""
+    small = materialize(sorted_buckets(strings.where("NOT hot"), length))
+    if not crowded:
+        return small
+    groups = materialize(_finer(strings.where("hot"), length, step))
+    # Where a bucket is too large, so are its copies: only of what occurs twice two are taken on.
+    met = groups.groupBy("sub1").agg(F.count("*").alias("_c")).where("_c > 1").select("sub1")
+    ends = groups.join(met, "sub1").groupBy("sub1", "sub2").agg(F.min(F.struct("place", "bytes")).alias("a"), F.max(F.struct("place", "bytes")).alias("b"), F.count("*").alias("_c"))
+    ends = materialize(ends)
+    large = materialize(ends.groupBy("sub1").agg(F.count("*").alias("_k")).where(f"_k > {MOST if step > 1 else 1 << 62}").select("sub1", F.lit(True).alias("hot")))
+    two = ends.select("sub1", "sub2", F.posexplode(F.expr("CASE WHEN _c > 1 THEN array(a, b) ELSE array(a) END")).alias("copy", "p")).join(large, "sub1", "left")
+    finer = two.select(F.col("sub1").alias("bucket"), F.col("sub1").alias("k1"), F.col("sub2").alias("k2"), "copy", "p.place.*", "p.bytes", F.coalesce("hot", F.lit(False)).alias("hot"))
+    found = _verdicts(materialize(finer), not large.isEmpty(), length, step // 4)
+    found = materialize(found.withColumnsRenamed({"k1": "sub1", "k2": "sub2"}).join(ends.select("sub1", "sub2", "a.place"), ["sub1", "sub2"]).withColumnRenamed("place", "first"))
+    back = groups.where("copy = 0").drop("bytes", "copy").join(found, ["sub1", "sub2"])
+    shifted = "transform({}, x -> struct(CAST(x.s + i AS INT) AS s, x.n AS n))"
+    back = back.selectExpr("k1", "k2", f"{shifted.format('rep')} AS rep", f"CASE WHEN place <=> first THEN {shifted.format('own')} ELSE {shifted.format('rep')} END AS own")
+    return small.unionAll(materialize(back.groupBy("k1", "k2").agg(F.flatten(F.collect_list("rep")).alias("rep"), F.flatten(F.collect_list("own")).alias("own"))))
 
 
 def _with_keys(keyed: DataFrame, small: DataFrame, how: str = "left") -> DataFrame:
@@ -332,22 +326,20 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = materialize(all_runs.join(anchors, "anchor"))
     discard(all_runs, anchors)
     # The last occurrence may be the last repetition in the place of the first.
-    last = F.struct("_id", "_th", F.expr("start + n * (times - 1)").alias("start"), "n")
-    ends = met.groupBy("anchor", "seg").agg(F.min(F.struct("_id", "_th", "start", "n")).alias("a"), F.max(last).alias("b"), F.sum("times").alias("_c"))
+    last = F.struct("_id", "_th", F.expr("start + n * (times - 1)").alias("start"), "n", "lead")
+    ends = met.groupBy("anchor", "seg").agg(F.min(F.struct("_id", "_th", "start", "n", "lead")).alias("a"), F.max(last).alias("b"), F.sum("times").alias("_c"))
     segs = materialize(ends.select("anchor", "seg", "a", "b", F.expr("NOT (a <=> b)" if keep_first else "_c > 1").alias("many")))
     hot = materialize(segs.groupBy("anchor").agg(F.count("*").alias("_k")).where(f"_k > {MOST}").select("anchor", F.lit(True).alias("hot")))
     crowded = not hot.isEmpty()
     dealt = segs.join(hot, "anchor", "left") if crowded else segs.withColumn("hot", F.lit(False))
     wanted = dealt.select("anchor", "seg", F.coalesce("hot", F.lit(False)).alias("hot"), F.posexplode(F.expr("CASE WHEN many THEN array(a, b) ELSE array(a) END")).alias("copy", "p"))
-    by_doc = wanted.groupBy("p._id", "p._th").agg(F.collect_list(F.struct("anchor", "seg", "hot", "copy", "p.start", "p.n")).alias("parts"))
+    by_doc = wanted.groupBy("p._id", "p._th").agg(F.collect_list(F.struct("anchor", "seg", "hot", "copy", "p.start", "p.n", "p.lead")).alias("parts"))
     if not keyed.groupBy("_id", "_th").agg(F.count("*").alias("_c")).where("_c > 1").isEmpty():  # repeated rows: one gives the bytes
         keyed = keyed.groupBy("_id", "_th").agg(F.first("_bytes").alias("_bytes"))
     bytes_ = F.expr(f"substring(_bytes, CAST(p.start + 1 AS INT), p.n + {length - 1})").alias("bytes")
     strings = _with_keys(keyed, by_doc, "inner").select("_id", "_th", "_bytes", F.explode("parts").alias("p"))
-    strings = materialize(strings.select(F.col("p.anchor").alias("bucket"), F.col("p.anchor").alias("k1"), F.col("p.seg").alias("k2"), "p.copy", "_id", "_th", "p.start", "p.n", "p.hot", bytes_))
-    verdicts = materialize(sorted_buckets(strings.where("NOT hot"), length))
-    if crowded:
-        verdicts = verdicts.unionAll(_hot_verdicts(strings.where("hot"), length))
+    strings = materialize(strings.select(F.col("p.anchor").alias("bucket"), F.col("p.anchor").alias("k1"), F.col("p.seg").alias("k2"), "p.copy", "_id", "_th", "p.start", "p.n", "p.lead", "p.hot", bytes_))
+    verdicts = _verdicts(strings, crowded, length, 64 if length >= 128 else 16)
     # Written on its own, so that a segment with very many occurrences is a skewed join that Spark splits.
     verdicts = materialize(verdicts.select(F.col("k1").alias("anchor"), F.col("k2").alias("seg"), "rep", "own").join(segs.select("anchor", "seg", "a"), ["anchor", "seg"]))
     shifted = "transform({}, x -> struct(CAST(start + x.s AS BIGINT) AS s, CAST(x.n AS BIGINT) AS n))"
@@ -355,7 +347,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = again.format(0, shifted.format("rep"))
     if keep_first:
         rest = again.format(1, "CAST(array() AS array<struct<s:bigint,n:bigint>>)")
-        every = f"CASE WHEN struct(_id, _th, start, n) <=> a THEN concat({shifted.format('own')}, {rest}) ELSE {every} END"
+        every = f"CASE WHEN struct(_id, _th, start, n, lead) <=> a THEN concat({shifted.format('own')}, {rest}) ELSE {every} END"
     found = materialize(met.join(verdicts, ["anchor", "seg"]).select("_id", "_th", F.expr(every).alias("spans")).where("size(spans) > 0"))
     discard(met, segs, hot, strings, verdicts)
     return found.groupBy("_id", "_th").agg(F.flatten(F.collect_list("spans")).alias("spans"))

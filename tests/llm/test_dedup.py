@@ -247,8 +247,13 @@ def test_repeats_brute(spark):
 def test_repeats_hot_and_small_blocks(spark, monkeypatch):
     rows = made_up(4)
     want = sorted((i, *x) for (i, _), x in zip(rows, brute_repeats([(t or "").encode() for _, t in rows]), strict=True))
-    monkeypatch.setattr(suffix_dedup, "MOST", 3)
+    monkeypatch.setattr(suffix_dedup, "MOST", 2)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 5000)
+    rng = random.Random(1)
+    for i in range(100, 140):  # one passage of 404 bytes in many contexts: large buckets down to single windows
+        around = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 300))) for _ in range(2)]
+        rows.append((i, around[0] + "passage " * 50 + "tail" + around[1]))
+    want = sorted((i, *x) for (i, _), x in zip(rows, brute_repeats([(t or "").encode() for _, t in rows]), strict=True))
     assert repeats_of(spark, rows) == want
     got = {r.doc_id: r.text or "" for r in suffix_dedup.drop_repeats(frame(spark, rows), length=120, gram=32).collect()}
     assert got == brute_first(rows, 120)
