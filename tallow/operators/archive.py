@@ -60,10 +60,37 @@ def archive_size(blocks: int, words: int) -> int:
     return HEADER_BYTES + 512 + 4 * STATES * blocks + 8 * round_up(blocks, 2) + 2 * words
 
 
+def max_block_size(n: int) -> int:
+    """A bound for the words of a block of n bytes: a quarter over its size, in steps of 16 bytes."""
+    return round_up(n + n // 4, 16)
+
+
+def max_block_size_with_states(n: int) -> int:
+    return 4 * STATES + max_block_size(n)
+
+
 def max_archive_size(n: int) -> int:
-    """A bound for any n bytes: each block at most a quarter over its size, in steps of 16 bytes."""
+    """A bound for any n bytes."""
     blocks = -(-n // BLOCK)
-    return archive_size(blocks, 0) + blocks * round_up(BLOCK + BLOCK // 4, 16)
+    return archive_size(blocks, 0) + blocks * max_block_size(BLOCK)
+
+
+def reserved_size(n: int) -> int:
+    """What is set aside for n bytes where the number of blocks is not known beforehand: head and index of BLOCK blocks."""
+    return round_up(archive_size(BLOCK, 0) + -(-n // BLOCK) * max_block_size(BLOCK), 16)
+
+
+def _sql_round_up(n: str, to: int) -> str:
+    return f"(({n} + {to - 1}) div {to} * {to})"
+
+
+def bound_columns(df: DataFrame, n: str = "n") -> DataFrame:
+    """Adds the same bounds of a column of sizes, by SQL functions alone."""
+    block, blocks = _sql_round_up(f"({n} + {n} div 4)", 16), f"(({n} + {BLOCK - 1}) div {BLOCK})"
+    head = f"({HEADER_BYTES + 512} + {4 * STATES} * {blocks} + 8 * {_sql_round_up(blocks, 2)})"
+    body = f"{blocks} * {max_block_size(BLOCK)}"
+    reserved = _sql_round_up(f"({archive_size(BLOCK, 0)} + {body})", 16)
+    return df.selectExpr("*", f"{blocks} AS blocks", f"{block} AS block_bound", f"{4 * STATES} + {block} AS block_bound_with_states", f"{head} + {body} AS bound", f"{reserved} AS reserved")
 
 
 def _parts(items: list, blocks: list[int]) -> Iterator[list]:

@@ -25,16 +25,20 @@ def unmap_groups(mapped: DataFrame) -> DataFrame:
     return mapped.select("gid", F.expr(f"zip_with(codes, lens, (k, l) -> {R.value('k', 'l', 'center')})").alias("vals"))
 
 
-def lanes(mapped: DataFrame) -> DataFrame:
-    """(gid, lane, lens, bits): one row per lane that has elements; bits is the sum of the lane's signals."""
+def lanes(mapped: DataFrame, *more: str) -> DataFrame:
+    """(gid, lane, lens, bits): one row per lane that has elements; bits is the sum of the lane's signals. `more`: columns
+    of the group to keep."""
     lane = f"explode(transform(sequence(0, (size(lens) - 1) div {LANE}), i -> struct(i AS lane, slice(lens, i * {LANE} + 1, {LANE}) AS lens))) AS l"
-    return mapped.selectExpr("gid", lane).selectExpr("gid", "l.lane AS lane", "l.lens AS lens", "aggregate(l.lens, 0L, (a, x) -> a + x) AS bits")
+    return mapped.selectExpr("gid", *more, lane).selectExpr("gid", *more, "l.lane AS lane", "l.lens AS lens", "aggregate(l.lens, 0L, (a, x) -> a + x) AS bits")
+
+
+#: Bytes that each lane of the group takes.
+SIG_LEN = f"(array_max(transform(sequence(0, (size(lens) - 1) div {LANE}), i -> aggregate(slice(lens, i * {LANE} + 1, {LANE}), 0L, (a, x) -> a + x))) + 7) div 8"
 
 
 def signal_lengths(mapped: DataFrame) -> DataFrame:
-    """(gid, sig_len): bytes that each lane of the group takes; narrow, no shuffle."""
-    most = f"array_max(transform(sequence(0, (size(lens) - 1) div {LANE}), i -> aggregate(slice(lens, i * {LANE} + 1, {LANE}), 0L, (a, x) -> a + x)))"
-    return mapped.select("gid", F.expr(f"({most} + 7) div 8").alias("sig_len"))
+    """(gid, sig_len); narrow, no shuffle."""
+    return mapped.select("gid", F.expr(SIG_LEN).alias("sig_len"))
 
 
 #: Bit text of a lane: 1 and len-1 zeros for each element; ones follow to the end of the byte in which the next
@@ -42,12 +46,20 @@ def signal_lengths(mapped: DataFrame) -> DataFrame:
 LANE_BITS = "array_join(transform(lens, l -> rpad('1', CAST(l AS INT), '0')), '')"
 
 
-def lane_hex(mapped: DataFrame) -> DataFrame:
-    """(gid, lane, hex): the lane's signal bytes, written to the length of the group."""
-    rows = lanes(mapped).join(signal_lengths(mapped), "gid").withColumn("_bits", F.expr(LANE_BITS))
-    rows = settled(rows.withColumn("_full", F.expr("rpad(rpad(_bits, CAST(least(bits div 8 + 1, sig_len) * 8 AS INT), '1'), CAST(8 * sig_len AS INT), '0')")).select("gid", "lane", "sig_len", "_full"))
+#: How a lane is written to the group's length: ones to the end of the byte where the next bit would stand, then zeros; or
+#: ones to the end, as the older form has it, whose last element then ends at a one too.
+PADDED = {
+    "byte": "rpad(rpad(_bits, CAST(least(bits div 8 + 1, sig_len) * 8 AS INT), '1'), CAST(8 * sig_len AS INT), '0')",
+    "ones": "rpad(_bits, CAST(8 * sig_len AS INT), '1')",
+}
+
+
+def lane_hex(mapped: DataFrame, padding: str = "byte") -> DataFrame:
+    """(gid, lane, n, hex): the lane's signal bytes, written to the length of the group, and its number of elements; narrow."""
+    rows = lanes(settled(mapped.select("gid", "lens", F.expr(SIG_LEN).alias("sig_len"))), "sig_len").withColumn("_bits", F.expr(LANE_BITS))
+    rows = settled(rows.withColumn("_full", F.expr(PADDED[padding])).selectExpr("gid", "lane", "size(lens) AS n", "sig_len", "_full"))
     byte = "lpad(conv(substr(_full, 8 * i + 1, 8), 2, 16), 2, '0')"
-    return rows.select("gid", "lane", F.expr(f"array_join(transform(sequence(0, CAST(sig_len AS INT) - 1), i -> {byte}), '')").alias("hex"))
+    return rows.select("gid", "lane", "n", F.expr(f"array_join(transform(sequence(0, CAST(sig_len AS INT) - 1), i -> {byte}), '')").alias("hex"))
 
 
 def restore_lane(lane_rows: DataFrame) -> DataFrame:

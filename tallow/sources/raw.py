@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -54,27 +56,52 @@ class _RawReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array([part.path] * n), pa.array(np.arange(i, i + n)), pa.array(val)], ["path", "pos", "val"])
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    files: list[tuple[str, str]]  # where it lies, and its name
+
+
 class _BlobWriter(DataSourceWriter):
+    """Each task writes under names of its own; the files get theirs when all tasks are done, so a task that fails or runs
+    twice leaves nothing under a final name."""
+
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
 
-    def write(self, rows) -> WriterCommitMessage:
+    def write(self, rows) -> _Written:
         store, root = _open(self.path)
-        store.create_dir(root)
-        for row in rows:
-            with store.open_output_stream(f"{root}/{row['name']}") as out:
+        aside, files = f"{root.rstrip('/')}/_temporary/{uuid.uuid4().hex}", []
+        store.create_dir(aside)
+        for i, row in enumerate(rows):
+            name = str(row["name"])
+            if name.startswith("/") or ".." in name.split("/"):
+                raise ValueError(f"not a name within the folder: {name!r}")
+            with store.open_output_stream(f"{aside}/{i}") as out:
                 out.write(bytes(row["content"]))
-        return WriterCommitMessage()
+            files.append((f"{aside}/{i}", name))
+        return _Written(files)
 
-    def commit(self, messages) -> None: ...
+    def commit(self, messages) -> None:
+        store, root = _open(self.path)
+        root = root.rstrip("/")
+        for aside, name in (f for m in messages if m for f in m.files):
+            store.create_dir(f"{root}/{name}".rpartition("/")[0])
+            store.move(aside, f"{root}/{name}")
+        self._clean()
+
+    def abort(self, messages) -> None:
+        self._clean()
 
-    def abort(self, messages) -> None: ...
+    def _clean(self) -> None:
+        store, root = _open(self.path)
+        if store.get_file_info(f"{root.rstrip('/')}/_temporary").type == fs.FileType.Directory:
+            store.delete_dir(f"{root.rstrip('/')}/_temporary")
 
 
 class RawIntegers(DataSource):
     """format("raw_integers"): options path, dtype (uint8, uint16, uint32), suffix, splitGroups; rows (path, pos, val).
 
-    Writing takes rows (name, content) and makes one file each, replacing what has that name.
+    Writing takes rows (name, content) and makes one file each, replacing what has that name; a name may have folders.
     """
 
     @classmethod
@@ -97,7 +124,7 @@ def read_integers(spark: SparkSession, path: str, dtype: str = "uint16", suffix:
 
 
 def read_bytes(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """(path, length, content): one whole file per row, through Spark's own file systems."""
+    """(path, length, content): one whole file per row, through Spark's own file systems. A file without bytes has no row."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     reader = reader.option("pathGlobFilter", pattern) if pattern else reader
     return reader.load(path).select("path", "length", "content")

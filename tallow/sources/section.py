@@ -7,8 +7,10 @@ the total), uint16 or uint32 centres[g] by the width byte that precedes them, ui
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,5 +63,11 @@ def archive_sections(packed: DataFrame, per: int = 2048) -> DataFrame:
     A part is of bounded size, so building it in one row is safe at any scale.
     """
     one = F.sort_array(F.collect_list(F.struct("gid", "center", "sig_len", "codes", "signals")))
-    build = F.udf(lambda gs: bytearray(assemble([(g.center, g.sig_len, bytes(g.codes), bytes(g.signals)) for g in gs], 4)), "binary")
-    return packed.groupBy(F.expr(f"gid div {per}").alias("part")).agg(one.alias("_g")).select("part", build("_g").alias("archive"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, gs in zip(b.column(0), b.column(1), strict=True):
+                blob = assemble([(g["center"], g["sig_len"], g["codes"], g["signals"]) for g in gs.as_py()], 4)
+                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int64()), pa.array([blob], pa.binary())], ["part", "archive"])
+
+    return packed.groupBy(F.expr(f"gid div {per}").alias("part")).agg(one.alias("_g")).mapInArrow(run, "part bigint, archive binary")
