@@ -2,8 +2,10 @@ import hashlib
 import html
 import itertools
 import math
+import os
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -60,7 +62,7 @@ def test_packing(spark):
 
 def test_packing_encoder_is_the_tokenizer():
     tok, enc, rng = Tokenizer.from_file(BPE), packing.Encoder(BPE), random.Random(2)
-    bits = ["a", "Word", " ", "  ", "\n", "\t", "'s", "'", "1", "23", "é", "!", " ", " ", "\x1c", "😀", "don't", "\x85", "\xa0", "\u3000", "\u200b", "²", "ǅ", "<|endoftext|>", "\r\n", "\u0120", "\0"]
+    bits = ["a", "Word", " ", "  ", "\n", "\t", "'s", "'", "1", "23", "é", "!", " ", " ", "\x1c", "😀", "don't", "\x85", "\xa0", "\u3000", "\u200b", "²", "ǅ", "<|endoftext|>", "\r\n", "\u0120", "\0", ",", ".", "!?", "\")", "naïve", "Word,", "ª"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + ["x <|endoftext|> y", " ", "  ", " a"]
     want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
     for t, w in zip(texts, want, strict=True):
@@ -430,3 +432,41 @@ def test_licence_cases(spark):
     assert got == {1: "MIT", 2: "MIT", 3: None, 4: None, 5: "Apache-2.0-notice"}
     assert {r.digest for r in license_scan.scan(frame(spark, rows)).collect()} == {hashlib.sha256(license_scan.canonical_text(t or "").encode()).hexdigest() for _, t in rows}
     assert license_scan.scan(frame(spark, rows).limit(0)).count() == 0
+    assert license_scan.canonical_text("licence licence of the licences, NON-COMMERCIAL noncommercial") == "license license of the licenses non commercial non commercial"
+
+
+def wrapped(text, width):
+    return "\n".join(line for part in text.split("\n") for line in textwrap.wrap(part, width) or [""])
+
+
+def test_licences_as_they_are_published(spark):
+    known = license_scan.KNOWN
+    rows, want = [], {}
+    for k, text in known.items():
+        for width in (30, 40, 72):
+            want[len(rows)] = k
+            rows.append((len(rows), "# " + wrapped(text, width).replace("\n", "\n# ")))
+    titles = [("MIT", "MIT License\n\nCopyright (c) 2020 Some One\n\n"), ("MIT", "The MIT License (MIT)\n\n© 2011-2020 A. Holder\n"), ("ISC", "ISC License\r\n\r\nCopyright 2020 X\r\n\r\n"), ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2017, Some One\nAll rights reserved.\n\n"), ("BSD-2-Clause", "COPYRIGHT (C) 1999 THE OWNERS\n")]
+    for k, head in titles:
+        want[len(rows)] = k
+        rows.append((len(rows), head + wrapped(known[k], 79)))
+    got = license_scan.scan(frame(spark, [*rows, (None, known["MIT"]), (None, known["MIT"]), (900, "w " * 200_000)]))
+    assert {r.doc_id: r.license for r in got.where("doc_id < 900").collect()} == want
+    assert got.where("doc_id IS NULL AND license = 'MIT'").count() == 2 and got.where("doc_id = 900 AND NOT matched").count() == 1
+    table = spark.createDataFrame([(k, t) for k, t in known.items()] + [("empty", " \n"), (None, "x"), ("z-MIT", known["MIT"])], "license string, text string")
+    for most in (license_scan.MOST_KNOWN, 2):
+        license_scan.MOST_KNOWN, kept = most, license_scan.MOST_KNOWN
+        by_table = license_scan.scan(frame(spark, rows), known=table)
+        license_scan.MOST_KNOWN = kept
+        assert {r.doc_id: r.license for r in by_table.collect()} == want
+
+
+def test_digests_of_long_licences():
+    folder = "/usr/share/common-licenses"
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    for name, file in files.items():
+        if os.path.exists(f"{folder}/{file}"):
+            with open(f"{folder}/{file}", encoding="utf-8") as f:
+                text = f.read()
+            for t in (text, text.lower(), text.replace("\n", "\r\n"), text.replace(" ", "  ")):
+                assert hashlib.sha256(license_scan.canonical_text(t).encode()).hexdigest() == license_scan.DIGESTS[name]
