@@ -296,14 +296,13 @@ def _verdicts(strings: DataFrame, crowded: bool, length: int, step: int) -> Data
     if not crowded:
         return small
     groups = materialize(_finer(strings.where("hot"), length, step))
-    # Where a bucket is too large, so are its copies: only of what occurs twice two are taken on.
-    met = groups.groupBy("sub1").agg(F.count("*").alias("_c")).where("_c > 1").select("sub1")
-    ends = groups.join(met, "sub1").groupBy("sub1", "sub2").agg(F.min(F.struct("place", "bytes")).alias("a"), F.max(F.struct("place", "bytes")).alias("b"), F.count("*").alias("_c"))
+    ends = groups.groupBy("sub1", "sub2").agg(F.min(F.struct("place", "bytes")).alias("a"), F.max(F.struct("place", "bytes")).alias("b"), F.count("*").alias("_c"))
     ends = materialize(ends)
-    large = materialize(ends.groupBy("sub1").agg(F.count("*").alias("_k")).where(f"_k > {MOST if step > 1 else 1 << 62}").select("sub1", F.lit(True).alias("hot")))
-    two = ends.select("sub1", "sub2", F.posexplode(F.expr("CASE WHEN _c > 1 THEN array(a, b) ELSE array(a) END")).alias("copy", "p")).join(large, "sub1", "left")
-    finer = two.select(F.col("sub1").alias("bucket"), F.col("sub1").alias("k1"), F.col("sub2").alias("k2"), "copy", "p.place.*", "p.bytes", F.coalesce("hot", F.lit(False)).alias("hot"))
-    found = _verdicts(materialize(finer), not large.isEmpty(), length, step // 4)
+    sizes = ends.groupBy("sub1").agg(F.sum("_c").alias("_all"), F.count("*").alias("_k")).where("_all > 1")
+    met = materialize(sizes.select("sub1", F.expr(f"_k > {MOST}" if step > 1 else "false").alias("hot")))
+    two = ends.join(met, "sub1").select("sub1", "sub2", "hot", F.posexplode(F.expr("CASE WHEN _c > 1 THEN array(a, b) ELSE array(a) END")).alias("copy", "p"))
+    finer = two.select(F.col("sub1").alias("bucket"), F.col("sub1").alias("k1"), F.col("sub2").alias("k2"), "copy", "p.place.*", "p.bytes", "hot")
+    found = _verdicts(materialize(finer), not met.where("hot").isEmpty(), length, step // 4)
     found = materialize(found.withColumnsRenamed({"k1": "sub1", "k2": "sub2"}).join(ends.select("sub1", "sub2", "a.place"), ["sub1", "sub2"]).withColumnRenamed("place", "first"))
     back = groups.where("copy = 0").drop("bytes", "copy").join(found, ["sub1", "sub2"])
     shifted = "transform({}, x -> struct(CAST(x.s + i AS INT) AS s, x.n AS n))"
