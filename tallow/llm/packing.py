@@ -18,6 +18,7 @@ are packed like any other; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import os
 import zlib
@@ -35,10 +36,11 @@ from tallow.llm.common import materialize
 CAPACITY = 1024
 SMALLEST = 32
 END_ID = 0
-CACHE = 200_000
+CACHE = 120_000
 FAN_IN = 64
 #: What a space is called in byte-level vocabularies (fixed value).
 SPACE = "\u0120"
+MARKS = ".,;:!?)]}\""  # no vocabulary of this kind joins one of these to the letters before it
 AT_ONCE = 1024  # words encoded in one call
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, worker bigint"
@@ -53,6 +55,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.inner: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         names = self.tokenizer.get_vocab()
@@ -60,10 +64,31 @@ class Encoder:
         self.spaced[[i for t, i in names.items() if t.startswith(SPACE)]] = True
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, words: list[str]) -> None:
-        """Words without white space at either end and without a space, each as it is encoded after a space."""
+        # The fast form leaves out offsets, which are not used here.
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: set[str]) -> None:
+        """Words without white space at either end and without a space, each as it is encoded after a space. Letters and
+        the marks that end them are split before they are encoded, so a word is encoded once whatever mark follows it."""
+        heads: dict[str, None] = {}
+        ended = []
+        for w in words:
+            if not w.isalpha() and (head := w.rstrip(MARKS)).isalpha():
+                ended.append((w, head, w[len(head) :]))
+                if head not in self.inner:
+                    if (own := self.older.get(head)) is not None:
+                        self.inner[head] = own
+                    else:
+                        heads[head] = None
+            else:
+                heads[w] = None
+        self._encode(list(heads))
+        for w, head, mark in ended:
+            if (own := self.marks.get(mark)) is None:
+                own = self.marks[mark] = self._ids(mark).tobytes()
+            self.inner[w] = self.inner[head] + own
+
+    def _encode(self, words: list[str]) -> None:
         for o in range(0, len(words), AT_ONCE):
             some = words[o : o + AT_ONCE]
             ids = self._ids(" " + " ".join(some))
@@ -78,33 +103,22 @@ class Encoder:
         return self.many([text])[0]
 
     def many(self, texts: list[str]) -> list[bytes]:
-        if len(self.inner) > CACHE:
-            self.inner.clear()
-        out: list[bytes | None] = []
-        late: list[tuple[int, list[str]]] = []
-        new: dict[str, None] = {}
-        for text in texts:
-            parts = text.split(" ")
-            found = list(map(self.inner.get, parts))
-            found[0] = b""
-            if any(x in text for x in self.special):
-                out.append(self._ids(text).tobytes())
-                continue
-            if None in found or not parts[0] or parts[0][-1].isspace():
-                missing = {p for p, x in zip(parts, found, strict=True) if x is None}
-                if not parts[0] or parts[0][-1].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in missing):
-                    parts = self._glued(parts)
-                    missing = {p for p in parts[1:] if p not in self.inner}
-                new.update(dict.fromkeys(p for p in missing if " " not in p))
-                late.append((len(out), parts))
-                out.append(None)
-            else:
-                found[0] = self._ids(parts[0]).tobytes()
-                out.append(b"".join(found))
-        self._learn(list(new))
-        for i, parts in late:
-            out[i] = self._joined(parts)
-        return out
+        if len(self.inner) > CACHE:  # words in use move on to the new cache
+            self.inner, self.older = {}, self.inner
+            self.marks.clear()
+        split = [None if any(x in text for x in self.special) else text.split(" ") for text in texts]
+        missing = set().union(*(parts for parts in split if parts)).difference(self.inner)
+        odd = {p for p in missing if not p or p[0].isspace() or p[-1].isspace()}
+        if odd:
+            for i, parts in enumerate(split):
+                if parts and not odd.isdisjoint(parts):
+                    split[i] = parts = self._glued(parts)
+                    missing.update(parts)
+            missing = {p for p in missing.difference(self.inner) if p not in odd and " " not in p}
+        known = missing & self.older.keys()
+        self.inner.update((p, self.older[p]) for p in known)
+        self._learn(missing - known)
+        return [self._ids(text).tobytes() if parts is None or len(parts) == 1 else self._joined(parts) for text, parts in zip(texts, split, strict=True)]
 
     def _joined(self, parts: list[str]) -> bytes:
         head = self._ids(parts[0]).tobytes()
@@ -127,6 +141,12 @@ class Encoder:
         return [*out, " ".join(held)]
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for a worker process, for all its tasks."""
+    return Encoder(path)
+
+
 def cuts(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> list[int]:
     """Lengths of a document's pieces: what is left after a cut is never shorter than `smallest`, unless it was."""
     out, left = [capacity] * (n // capacity), n % capacity
@@ -193,7 +213,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, worker = Encoder(tokenizer), TaskContext.get().partitionId()
+        encode, worker = encoder(tokenizer), TaskContext.get().partitionId()
         fill, end = Filler(worker << 32, capacity), np.array([END_ID], "<u4").tobytes()
         for b in (x.slice(o, 128) for x in batches for o in range(0, x.num_rows, 128)):
             out: list[list] = []
