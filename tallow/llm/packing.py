@@ -10,7 +10,8 @@ tails' are exact divisors, so they leave no padding.
 
 Token ids come from the tokenizer file; an end id follows each document. In a byte-level vocabulary no token spans a
 single space between words, so a word is encoded once and kept in a bounded cache, and the new words of many texts are
-encoded in one call. A text with the name of a special token is encoded whole, as the tokenizer does it by default.
+encoded in one call. A text with runs of white space or with the name of a special token is encoded whole, as the
+tokenizer does it by default.
 
 Defined cases: null text is empty (one end id); an empty table gives an empty result; repeated rows and null ids
 are packed like any other; further columns are ignored.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,109 +39,122 @@ from tallow.llm.common import materialize
 CAPACITY = 1024
 SMALLEST = 32
 END_ID = 0
-CACHE = 120_000
+CACHE = 300_000
 FAN_IN = 64
 #: What a space is called in byte-level vocabularies (fixed value).
 SPACE = "\u0120"
 MARKS = ".,;:!?)]}\""  # no vocabulary of this kind joins one of these to the letters before it
 AT_ONCE = 1024  # words encoded in one call
+AT_A_TIME = 1024  # texts
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, worker bigint"
 NAMES = [x.split()[0] for x in PIECE.split(", ")]
 
 
 class Encoder:
-    """Ids of texts as little-endian uint32 bytes, as the tokenizer file gives them with add_special_tokens=False."""
+    """Ids of texts as little-endian uint32 bytes, as the tokenizer file gives them with add_special_tokens=False.
+
+    The words of many texts are numbered at once and put together from one pool of ids; only new words are encoded."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.inner: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         names = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(names.values()) + 1, bool)
         self.spaced[[i for t, i in names.items() if t.startswith(SPACE)]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slots: dict[str, int] = {}  # of words as they are after a space
+        self.bare: dict[str, int] = {}  # of words and marks as they are alone
+        self.pool, self.start, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ids(self, text: str) -> np.ndarray:
         # The fast form leaves out offsets, which are not used here.
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, words: set[str]) -> None:
-        """Words without white space at either end and without a space, each as it is encoded after a space. Letters and
-        the marks that end them are split before they are encoded, so a word is encoded once whatever mark follows it."""
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> range:
+        """Slots of so many strings, whose ids follow each other."""
+        n = len(self.start)
+        self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(sizes) - sizes))
+        self.size, self.pool = np.concatenate((self.size, sizes)), np.concatenate((self.pool, ids))
+        return range(n, n + len(sizes))
+
+    def _gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these strings one after another, and how many each has."""
+        sizes = self.size[slots]
+        at = np.repeat(self.start[slots] - (np.cumsum(sizes) - sizes), sizes)
+        return self.pool[at + np.arange(len(at))], sizes
+
+    def _encode(self, words: list[str], known: dict[str, int], space: bool) -> None:
+        """Words without white space at either end and without a space."""
+        parts, sizes = [], []
+        for o in range(0, len(words), AT_ONCE):
+            some = words[o : o + AT_ONCE]
+            ids = self._ids(" " + " ".join(some)) if space else None
+            first = np.flatnonzero(self.spaced[ids]) if space else None
+            if first is None or len(first) != len(some):  # alone, or in a vocabulary that joins words
+                alone = [self._ids(" " + w if space else w) for w in some]
+                ids, size = np.concatenate(alone), np.array([len(x) for x in alone])
+            else:
+                size = np.diff(np.append(first, len(ids)))
+            parts.append(ids)
+            sizes.append(size)
+        if words:
+            known.update(zip(words, self._add(np.concatenate(parts), np.concatenate(sizes)), strict=True))
+
+    def _learn(self, words: list[str]) -> None:
+        """Letters and the marks that end them are split, so a word is encoded once whatever mark follows it."""
         heads: dict[str, None] = {}
-        ended = []
+        ended, own, marks = [], [], []
         for w in words:
             if not w.isalpha() and (head := w.rstrip(MARKS)).isalpha():
-                ended.append((w, head, w[len(head) :]))
-                if head not in self.inner:
-                    if (own := self.older.get(head)) is not None:
-                        self.inner[head] = own
-                    else:
-                        heads[head] = None
+                ended.append(w)
+                own.append(head)
+                marks.append(w[len(head) :])
+                if head not in self.slots:
+                    heads[head] = None
             else:
                 heads[w] = None
-        self._encode(list(heads))
-        for w, head, mark in ended:
-            if (own := self.marks.get(mark)) is None:
-                own = self.marks[mark] = self._ids(mark).tobytes()
-            self.inner[w] = self.inner[head] + own
-
-    def _encode(self, words: list[str]) -> None:
-        for o in range(0, len(words), AT_ONCE):
-            some = words[o : o + AT_ONCE]
-            ids = self._ids(" " + " ".join(some))
-            first = np.flatnonzero(self.spaced[ids])
-            if len(first) != len(some):  # a vocabulary that joins words
-                self.inner.update((w, self._ids(" " + w).tobytes()) for w in some)
-                continue
-            data, edge = ids.tobytes(), (4 * np.append(first, len(ids))).tolist()
-            self.inner.update((w, data[i:j]) for w, i, j in zip(some, edge[:-1], edge[1:], strict=True))
+        self._encode(list(heads), self.slots, True)
+        if ended:
+            self._encode([m for m in dict.fromkeys(marks) if m not in self.bare], self.bare, False)
+            pairs = np.array([list(map(self.slots.__getitem__, own)), list(map(self.bare.__getitem__, marks))]).T.ravel()
+            ids, sizes = self._gather(pairs)
+            self.slots.update(zip(ended, self._add(ids, sizes.reshape(-1, 2).sum(1)), strict=True))
 
     def __call__(self, text: str) -> bytes:
         return self.many([text])[0]
 
     def many(self, texts: list[str]) -> list[bytes]:
-        if len(self.inner) > CACHE:  # words in use move on to the new cache
-            self.inner, self.older = {}, self.inner
-            self.marks.clear()
-        split = [None if any(x in text for x in self.special) else text.split(" ") for text in texts]
-        missing = set().union(*(parts for parts in split if parts)).difference(self.inner)
-        odd = {p for p in missing if not p or p[0].isspace() or p[-1].isspace()}
-        if odd:
-            for i, parts in enumerate(split):
-                if parts and not odd.isdisjoint(parts):
-                    split[i] = parts = self._glued(parts)
-                    missing.update(parts)
-            missing = {p for p in missing.difference(self.inner) if p not in odd and " " not in p}
-        known = missing & self.older.keys()
-        self.inner.update((p, self.older[p]) for p in known)
-        self._learn(missing - known)
-        return [self._ids(text).tobytes() if parts is None or len(parts) == 1 else self._joined(parts) for text, parts in zip(texts, split, strict=True)]
-
-    def _joined(self, parts: list[str]) -> bytes:
-        head = self._ids(parts[0]).tobytes()
-        try:
-            return head + b"".join(map(self.inner.__getitem__, parts[1:]))
-        except KeyError:  # parts that hold runs of white space
-            return head + b"".join(x if (x := self.inner.get(p)) is not None else self._ids(" " + p).tobytes() for p in parts[1:])
-
-    @staticmethod
-    def _glued(parts: list[str]) -> list[str]:
-        """Parts joined again where either side of a space is white space or nothing."""
-        out, held = [], [parts[0]]
-        for p in parts[1:]:
-            last = held[-1]
-            if last and p and not last[-1].isspace() and not p[0].isspace():
-                out.append(" ".join(held))
-                held = [p]
-            else:
-                held.append(p)
-        return [*out, " ".join(held)]
+        if not texts:
+            return []
+        if len(self.slots) > CACHE:
+            self._clear()
+        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        numbered = lists.flatten().dictionary_encode()
+        words, number = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy(zero_copy_only=False)
+        edge = lists.offsets.to_numpy()
+        counts = np.diff(edge)
+        # A text in which a space meets other white space or an end, or with a special token, is encoded whole.
+        trimmed = pc.utf8_trim_whitespace(numbered.dictionary)
+        odd = pc.or_(pc.not_equal(trimmed, numbered.dictionary), pc.equal(trimmed, "")).to_numpy(zero_copy_only=False)
+        whole = np.add.reduceat(odd[number], edge[:-1]) > 0
+        whole |= np.array([any(x in t for x in self.special) for t in texts], bool)
+        slot = np.fromiter(map(self.slots.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero((slot < 0) & ~odd).tolist()
+        self._learn([words[i] for i in new])
+        slot[new] = np.fromiter((self.slots[words[i]] for i in new), np.int64, len(new))
+        firsts = [words[i] for i in number[edge[:-1]][~whole].tolist()]
+        self._encode([w for w in dict.fromkeys(firsts) if w not in self.bare], self.bare, False)
+        taken, slots = ~np.repeat(whole, counts), slot[number]
+        slots[edge[:-1][~whole]] = [self.bare[w] for w in firsts]
+        ids, sizes = self._gather(slots[taken])
+        made = iter(np.split(ids, np.cumsum(np.add.reduceat(sizes, np.cumsum(c := counts[~whole]) - c))[:-1]) if len(sizes) else ())
+        return [(self._ids(t) if w else next(made)).tobytes() for t, w in zip(texts, whole.tolist(), strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -215,7 +231,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, worker = encoder(tokenizer), TaskContext.get().partitionId()
         fill, end = Filler(worker << 32, capacity), np.array([END_ID], "<u4").tobytes()
-        for b in (x.slice(o, 128) for x in batches for o in range(0, x.num_rows, 128)):
+        for b in (x.slice(o, AT_A_TIME) for x in batches for o in range(0, x.num_rows, AT_A_TIME)):
             out: list[list] = []
             for doc, ids in zip(b.column(0).to_pylist(), encode.many([t or "" for t in b.column(1).to_pylist()]), strict=True):
                 ids += end
