@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any, TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _OWN: dict[str, str] = {}
+_HELD: dict[str, Any] = {}
+T = TypeVar("T")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +55,31 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """After a large step whose rows are written: lets Spark's cleaner, which follows the driver's garbage collection, delete
+    shuffle files that nothing refers to now rather than half an hour later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def held(owner: str, make: Callable[[], T]) -> T:
+    """What a Python worker keeps for its next tasks of one operator. Only one operator's at a time is kept."""
+    if owner not in _HELD:
+        _HELD.clear()
+        _HELD[owner] = make()
+    return _HELD[owner]
+
+
+def give_back(all_held: bool = False) -> None:
+    """Returns what a Python worker has freed to the system, with `all_held` also what it keeps. Workers outlive their tasks,
+    so what one held at its peak would count against all later ones."""
+    if all_held:
+        _HELD.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lowered, all else as it is. Text of ASCII only takes the fast path."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -19,7 +19,6 @@ are packed like any other; further columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import itertools
 import os
@@ -34,12 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallow.llm.common import materialize
+from tallow.llm.common import give_back, held, materialize
 
 CAPACITY = 1024
 SMALLEST = 32
 END_ID = 0
-CACHE = 300_000
+CACHE, KEPT = 240_000, 80_000  # words known at most, and of these between tasks
 FAN_IN = 64
 #: What a space is called in byte-level vocabularies (fixed value).
 SPACE = "\u0120"
@@ -65,13 +64,17 @@ class Encoder:
         names = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(names.values()) + 1, bool)
         self.spaced[[i for t, i in names.items() if t.startswith(SPACE)]] = True
-        self._clear()
-
-    def _clear(self) -> None:
         self.slots: dict[str, int] = {}  # of words as they are after a space
         self.bare: dict[str, int] = {}  # of words and marks as they are alone
         self.pool, self.start, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def keep(self, n: int) -> None:
+        """Forgets all but the first n strings met, among which are the frequent ones."""
+        if n < len(self.start):
+            self.slots, self.bare = ({w: s for w, s in known.items() if s < n} for known in (self.slots, self.bare))
+            self.start, self.size = self.start[:n].copy(), self.size[:n].copy()
+            self.pool = self.pool[: self.size.sum()].copy()
+
     def _ids(self, text: str) -> np.ndarray:
         # The fast form leaves out offsets, which are not used here.
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -133,7 +136,7 @@ class Encoder:
         if not texts:
             return []
         if len(self.slots) > CACHE:
-            self._clear()
+            self.keep(KEPT)
         lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
         numbered = lists.flatten().dictionary_encode()
         words, number = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy(zero_copy_only=False)
@@ -157,12 +160,6 @@ class Encoder:
         return [(self._ids(t) if w else next(made)).tobytes() for t, w in zip(texts, whole.tolist(), strict=True)]
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One for a worker process, for all its tasks."""
-    return Encoder(path)
-
-
 def cuts(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> list[int]:
     """Lengths of a document's pieces: what is left after a cut is never shorter than `smallest`, unless it was."""
     out, left = [capacity] * (n // capacity), n % capacity
@@ -229,7 +226,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, worker = encoder(tokenizer), TaskContext.get().partitionId()
+        encode, worker = held(f"encoder {tokenizer}", lambda: Encoder(tokenizer)), TaskContext.get().partitionId()
         fill, end = Filler(worker << 32, capacity), np.array([END_ID], "<u4").tobytes()
         for b in (x.slice(o, AT_A_TIME) for x in batches for o in range(0, x.num_rows, AT_A_TIME)):
             out: list[list] = []
@@ -241,6 +238,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                     at += size
             yield _batch(out)
         yield _batch(fill.rest())
+        encode.keep(KEPT)
+        give_back()
 
     def merge(level: int, last: bool):
         def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

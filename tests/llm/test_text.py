@@ -68,6 +68,10 @@ def test_packing_encoder_is_the_tokenizer():
     for t, w in zip(texts, want, strict=True):
         assert np.frombuffer(enc(t), "<u4").tolist() == w, repr(t)
     assert [np.frombuffer(x, "<u4").tolist() for x in packing.Encoder(BPE).many(texts)] == want
+    few = packing.Encoder(BPE)
+    for o in range(0, len(texts), 100):
+        few.keep(o % 300)
+        assert [np.frombuffer(x, "<u4").tolist() for x in few.many(texts[o : o + 100])] == want[o : o + 100]
 
 
 def test_packing_in_a_tree_of_workers(spark, monkeypatch):
