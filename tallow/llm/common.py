@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 _OWN: dict[str, str] = {}
 _HELD: dict[str, Any] = {}
 T = TypeVar("T")
@@ -42,7 +43,13 @@ def materialize(df: DataFrame) -> DataFrame:
     the executor that made them. `discard` frees the files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallow-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Rows here hold whole texts, so a batch for Python is of fewer rows than is usual; the caller's setting comes back.
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._tallow_path = path
     return kept

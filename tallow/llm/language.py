@@ -18,7 +18,6 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,9 +120,10 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = PROFILE, h
 def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """The rows with all their columns in a struct `_row`, and lang_pred and score. Only the text goes to Python."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def found(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([profiles.predict(t) for t in texts], columns=["lang_pred", "score"])
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def found(texts: pa.Array) -> pa.Array:
+        names, scores = zip(*(profiles.predict(t.as_py()) for t in texts), strict=True) if len(texts) else ((), ())
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     source = docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("_text"))
     once = found.asNondeterministic()  # else a filter on the result computes it a second time

@@ -26,7 +26,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -38,13 +37,13 @@ from tallow.llm.common import give_back, held, materialize
 CAPACITY = 1024
 SMALLEST = 32
 END_ID = 0
-CACHE, KEPT = 240_000, 80_000  # words known at most, and of these between tasks
+CACHE, KEPT = 240_000, 80_000  # words that a worker knows at most, and of these between tasks
 FAN_IN = 64
 #: What a space is called in byte-level vocabularies (fixed value).
 SPACE = "\u0120"
 MARKS = ".,;:!?)]}\""  # no vocabulary of this kind joins one of these to the letters before it
 AT_ONCE = 1024  # words encoded in one call
-AT_A_TIME = 1024  # texts
+AT_A_TIME = 1000  # texts with such a cache
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, worker bigint"
 NAMES = [x.split()[0] for x in PIECE.split(", ")]
@@ -55,7 +54,8 @@ class Encoder:
 
     The words of many texts are numbered at once and put together from one pool of ids; only new words are encoded."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.cache = cache
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -135,8 +135,8 @@ class Encoder:
     def many(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
-        if len(self.slots) > CACHE:
-            self.keep(KEPT)
+        if len(self.slots) > self.cache:
+            self.keep(min(KEPT, self.cache * 6 // 10))
         lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
         numbered = lists.flatten().dictionary_encode()
         words, number = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy(zero_copy_only=False)
@@ -222,13 +222,16 @@ def _batch(rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * len(NAMES))], NAMES)
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, cache: int = CACHE) -> DataFrame:
+    """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset). `cache`: words that a worker
+    knows at most; fewer take less memory and more time."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, worker = held(f"encoder {tokenizer}", lambda: Encoder(tokenizer)), TaskContext.get().partitionId()
+        give_back()
+        encode, worker = held(f"encoder {tokenizer} {cache}", lambda: Encoder(tokenizer, cache)), TaskContext.get().partitionId()
         fill, end = Filler(worker << 32, capacity), np.array([END_ID], "<u4").tobytes()
-        for b in (x.slice(o, AT_A_TIME) for x in batches for o in range(0, x.num_rows, AT_A_TIME)):
+        some = max(1, AT_A_TIME * cache // CACHE)
+        for b in (x.slice(o, some) for x in batches for o in range(0, x.num_rows, some)):
             out: list[list] = []
             for doc, ids in zip(b.column(0).to_pylist(), encode.many([t or "" for t in b.column(1).to_pylist()]), strict=True):
                 ids += end
@@ -238,10 +241,12 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                     at += size
             yield _batch(out)
         yield _batch(fill.rest())
-        encode.keep(KEPT)
+        encode.keep(min(KEPT, cache * 6 // 10))
         give_back()
 
     def merge(level: int, last: bool):
+        import pandas as pd  # here, so that the workers of the first step need not hold it
+
         def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             fill = Filler(1 << 61 if last else 1 << 60 | level << 56 | int(key[0]) << 32, capacity)
             # Fixed order: a lost task that runs again places the same pieces.

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallow.llm.common import discard, materialize
+from tallow.llm.common import discard, free_shuffles, give_back, materialize
 from tallow.llm.components import connected_components
 from tallow.llm.fingerprint import fingerprint_of, shingle_hashes, text_key
 
@@ -85,6 +85,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     kinds_known, often = _common(_texts(docs, id_col, text_col), shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(all_held=True)
         for b in (x.slice(o, 1024) for x in batches for o in range(0, x.num_rows, 1024)):
             fps, keys, minima, sizes, short, head, odd = [], [], [], [], [], [], []
             for t in b.column(1):
@@ -112,6 +113,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
             bands = pa.array([next(found) if s else None for s in sizes], pa.list_(pa.int64()))
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (head, odd)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.int64()), pa.array(keys, pa.int64()), bands, pa.array(sizes, pa.int32()), pa.array(short, pa.int32()), *lists], ["_id", "mark", "fp", "key", "bands", "n", "short", "head", "odd"])
+        give_back()
 
     marked = _texts(docs, id_col, text_col).withColumn("mark", F.expr(MARK.format("_text")))
     return marked.mapInArrow(run, "_id bigint, mark bigint, fp bigint, key bigint, bands array<bigint>, n int, short int, head array<bigint>, odd array<bigint>")
@@ -127,6 +129,7 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
                 fp, kinds = fingerprint_of(hashes), np.unique(hashes)
                 row = [pa.array([text_key(kinds, fp)], pa.int64()), pa.array([fp], pa.int64()), pa.array([kinds.view(np.int64)], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(row, ["key", "fp", "kinds"])
+        give_back()
 
     return texts.mapInArrow(run, "key bigint, fp bigint, kinds array<bigint>").dropDuplicates(["key"])
 
@@ -164,15 +167,24 @@ def heads(n: int, similarity: tuple[int, int]) -> tuple[int, int]:
 def remaining_pairs(sketched: DataFrame, links: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """(a, b), a < b: keys of all pairs that may reach the similarity and that `links` do not put in one group."""
     part, whole = similarity
-    labels = connected_components(links).select(F.col("node").alias("fp"), "label")
-    texts = sketched.where("_id IS NOT NULL AND n > 0").select("fp", "key", "n", "short", "head", "odd")
-    grouped = materialize(texts.join(labels, "fp", "left").select("key", F.coalesce("label", "fp").alias("own"), "n", "short", "head", "odd"))
-    exploded = grouped.select("key", "own", "n", "short", F.posexplode("head").alias("pos", "kind"))
-    # Of use are shingles of two groups or more, one of them with the shingle in the head of a smaller set.
-    counts = exploded.groupBy("kind").agg(F.min("own").alias("_low"), F.max("own").alias("_high"), F.min(F.expr("pos - short")).alias("_least"))
-    shared = materialize(counts.where("_low < _high AND _least < 0").select("kind"))
+    spark, texts = sketched.sparkSession, sketched.where("_id IS NOT NULL AND n > 0")
+    exploded = texts.select("key", "short", F.posexplode("head").alias("pos", "kind"))
+    # Of use are shingles of two texts, one of them with the shingle in the head of a smaller set: few, found by narrow rows.
+    counts = exploded.groupBy("kind").agg(F.count("*").alias("_n"), F.max(F.expr("pos < short")).alias("_some"))
+    shared = materialize(counts.where("_n > 1 AND _some").select("kind"))
+    free_shuffles(spark)
     # Repeated rows and texts of one key give the same row here.
-    rows = materialize(exploded.join(shared, "kind").distinct())
+    few = materialize(exploded.select("key", "pos", "kind").join(shared, "kind").distinct())
+    labels = connected_components(links).select(F.col("node").alias("fp"), "label")
+    sizes = materialize(texts.select("key", "fp", "n", "short").distinct().join(labels, "fp", "left").select("key", F.coalesce("label", "fp").alias("own"), "n", "short"))
+    rows = materialize(few.join(sizes, "key"))
+    discard(shared, few)
+    free_shuffles(spark)
+    # And of these, shingles of two groups.
+    across = rows.groupBy("kind").agg(F.min("own").alias("_low"), F.max("own").alias("_high"), F.min(F.expr("pos - short")).alias("_least"))
+    old, across = rows, materialize(across.where("_low < _high AND _least < 0").select("kind"))
+    rows = materialize(old.join(across, "kind"))
+    discard(old, across)
     owners = rows.groupBy("kind", "own").agg(F.min(F.expr("pos - short")).alias("_least"))
     x, y = (owners.select("kind", F.col("own").alias(o), F.col("_least").alias(f"_least_{o}")) for o in ("own_x", "own_y"))
     groups = x.where("_least_own_x < 0").join(y, "kind").where("own_x <> own_y").select("kind", "own_x", "own_y")
@@ -182,20 +194,23 @@ def remaining_pairs(sketched: DataFrame, links: DataFrame, similarity: tuple[int
     fits = f"(n_x < n_y OR (n_x = n_y AND key_x < key_y)) AND {whole}L * n_x >= {part}L * n_y"
     reach = f"{part + whole}L * least(n_x - pos_x, n_y - pos_y) >= {part}L * (n_x + n_y)"
     met = materialize(met.where(f"{fits} AND {reach}").select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).distinct())
-    discard(shared, rows)
+    discard(rows, sizes)
+    free_shuffles(spark)
     sides = met.select(F.col("a").alias("key")).unionAll(met.select(F.col("b").alias("key"))).distinct()
-    maps = materialize(grouped.join(sides, "key").groupBy("key").agg(F.first("n").alias("n"), F.first("odd").alias("odd")))
+    maps = materialize(texts.select("key", "n", "odd").join(sides, "key").groupBy("key").agg(F.first("n").alias("n"), F.first("odd").alias("odd")))
     side = {s: maps.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("odd").alias(f"odd_{s}")) for s in "ab"}
     apart = "aggregate(zip_with(odd_a, odd_b, (p, q) -> bit_count(p ^ q)), 0, (p, q) -> p + q)"
     near = met.join(side["a"], "a").join(side["b"], "b").where(f"{part + whole}L * {apart} <= {whole - part}L * (n_a + n_b)")
     near = materialize(near.select("a", "b"))
-    discard(grouped, met, maps)
+    discard(met, maps)
+    free_shuffles(spark)
     return near
 
 
 def similar_links(docs: DataFrame, sketched: DataFrame, id_col: str, text_col: str, shingle: int, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(a, b): fingerprints of linked texts. `sketched` is read from files. Rows with a null id are not compared. Not
     every link is given, but enough for the groups of all."""
+    free_shuffles(docs.sparkSession)
     crowds = materialize(_decided(candidate_pairs(sketched), docs, sketched, id_col, text_col, shingle, similarity))
     rest = remaining_pairs(sketched, crowds, similarity)
     return materialize(crowds.unionAll(_decided(rest, docs, sketched, id_col, text_col, shingle, similarity)))

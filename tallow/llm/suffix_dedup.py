@@ -37,18 +37,17 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallow.llm.common import discard, materialize
+from tallow.llm.common import discard, free_shuffles, give_back, materialize
 
 LENGTH = 400
 GRAM = 64
-CHUNK = 1 << 19  # bytes hashed at once
-BLOCK = 1 << 19  # bytes sorted at once
+CHUNK = 1 << 18  # bytes hashed at once
+BLOCK = 1 << 18  # bytes sorted at once
 MOST = 512  # segments of a bucket that is sorted whole
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -145,6 +144,7 @@ def anchored(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
+        give_back(all_held=True)
         for b in batches:
             size = b.num_rows
             for rows, offs, parts in _chunks(list(range(size)), (x.as_py() for x in b.column(2)), length, CHUNK):
@@ -163,6 +163,7 @@ def anchored(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
                 start = first - (ends - lens)[part] + np.array(offs, np.int64)[part]
                 cols = [b.column(0).take(row), b.column(1).take(row), pa.array(start), pa.array(count.astype(np.int32)), pa.array(times.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(cols, ["_id", "_th", "start", "n", "times", "lead", "anchor", "seg"])
+        give_back()
 
     return keyed.select("_id", "_th", "_bytes").mapInArrow(run, "_id bigint, _th bigint, start bigint, n int, times int, lead int, anchor bigint, seg bigint")
 
@@ -275,6 +276,8 @@ def sorted_buckets(segments: DataFrame, length: int = LENGTH) -> DataFrame:
                 size += len(r[8])
             yield made(out)
         yield made(block(held) if held else [])
+        held.clear()
+        give_back()
 
     dealt = segments.select(*_SORTED).repartition("bucket").sortWithinPartitions("bucket", "k1", "k2", "copy")
     return dealt.mapInArrow(run, VERDICT)
@@ -324,6 +327,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anchors = materialize(all_runs.groupBy("anchor").agg(F.sum("times").alias("_c")).where("_c > 1").select("anchor"))
     met = materialize(all_runs.join(anchors, "anchor"))
     discard(all_runs, anchors)
+    free_shuffles(docs.sparkSession)
     # The last occurrence may be the last repetition in the place of the first.
     last = F.struct("_id", "_th", F.expr("start + n * (times - 1)").alias("start"), "n", "lead")
     ends = met.groupBy("anchor", "seg").agg(F.min(F.struct("_id", "_th", "start", "n", "lead")).alias("a"), F.max(last).alias("b"), F.sum("times").alias("_c"))
@@ -338,6 +342,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bytes_ = F.expr(f"substring(_bytes, CAST(p.start + 1 AS INT), p.n + {length - 1})").alias("bytes")
     strings = _with_keys(keyed, by_doc, "inner").select("_id", "_th", "_bytes", F.explode("parts").alias("p"))
     strings = materialize(strings.select(F.col("p.anchor").alias("bucket"), F.col("p.anchor").alias("k1"), F.col("p.seg").alias("k2"), "p.copy", "_id", "_th", "p.start", "p.n", "p.lead", "p.hot", bytes_))
+    free_shuffles(docs.sparkSession)
     verdicts = _verdicts(strings, crowded, length, 64 if length >= 128 else 16)
     # Written on its own, so that a segment with very many occurrences is a skewed join that Spark splits.
     verdicts = materialize(verdicts.select(F.col("k1").alias("anchor"), F.col("k2").alias("seg"), "rep", "own").join(segs.select("anchor", "seg", "a"), ["anchor", "seg"]))
@@ -349,6 +354,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         every = f"CASE WHEN struct(_id, _th, start, n, lead) <=> a THEN concat({shifted.format('own')}, {rest}) ELSE {every} END"
     found = materialize(met.join(verdicts, ["anchor", "seg"]).select("_id", "_th", F.expr(every).alias("spans")).where("size(spans) > 0"))
     discard(met, segs, hot, strings, verdicts)
+    free_shuffles(docs.sparkSession)
     return found.groupBy("_id", "_th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
@@ -378,16 +384,18 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, payload: bool, **how) -
 def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per document: (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
 
-    @F.pandas_udf("n_removed bigint, n_spans bigint, kept_sha256 string")
-    def cut(data: pd.Series, starts: pd.Series, counts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<n_removed: bigint, n_spans: bigint, kept_sha256: string>")
+    def cut(data: pa.Array, starts: pa.Array, counts: pa.Array) -> pa.Array:
         out = []
         for d, s, n in zip(data, starts, counts, strict=True):
-            if d is None:
+            if not d.is_valid:
                 out.append((0, 0, None))
                 continue
-            gone = removed_spans(s, n, len(d), length)
+            d = d.as_py()
+            gone = removed_spans(s.as_py(), n.as_py(), len(d), length)
             out.append((sum(j - i for i, j in gone), len(gone), hashlib.sha256(_kept(d, gone)).hexdigest()))
-        return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256"])
+        cols = list(zip(*out, strict=True)) or [()] * 3
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True)], ["n_removed", "n_spans", "kept_sha256"])
 
     rows = _marked(docs, id_col, text_col, False, length=length).withColumn("_cut", cut.asNondeterministic()("_touched", "spans.s", "spans.n"))
     sha = F.coalesce("_cut.kept_sha256", F.sha2("_bytes", 256)).alias("kept_sha256")
@@ -400,9 +408,10 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A cut inside a character takes the rest of that character too. A null text stays null.
     """
 
-    @F.pandas_udf("string")
-    def cut(data: pd.Series, starts: pd.Series, counts: pd.Series) -> pd.Series:
-        return pd.Series([None if d is None else _kept(d, removed_spans(s, n, len(d), length)).decode("utf-8", "ignore") for d, s, n in zip(data, starts, counts, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def cut(data: pa.Array, starts: pa.Array, counts: pa.Array) -> pa.Array:
+        kept = (None if not d.is_valid else _kept(x := d.as_py(), removed_spans(s.as_py(), n.as_py(), len(x), length)).decode("utf-8", "ignore") for d, s, n in zip(data, starts, counts, strict=True))
+        return pa.array(kept, pa.string())
 
     rows = _marked(docs, id_col, text_col, True, length=length, gram=gram, keep_first=keep_first).withColumn("_kept", cut.asNondeterministic()("_touched", "spans.s", "spans.n"))
     text = F.coalesce("_kept", F.col(f"_row.`{text_col}`"))
