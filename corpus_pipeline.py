@@ -14,6 +14,8 @@ from tallow.llm.suffix_dedup import drop_repeats
 
 #: Words of a shingle where near copies are sought.
 NEAR_SHINGLE = 5
+#: Words that a packing worker keeps encoded: fewer than alone, as it shares its executor with the other stages' memory.
+PACKING_WORDS = 100_000
 #: Bytes of a repeat that goes, so that passages of 50 words are covered, and of the grams that anchor it.
 REPEAT_BYTES, REPEAT_GRAM = 240, 32
 
@@ -35,7 +37,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), cache=PACKING_WORDS)
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("suffix_dedup", repeats), ("packing", packing)]
