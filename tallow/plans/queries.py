@@ -226,8 +226,7 @@ _LIT = "printf('fe%04x', val)"
 
 @query("byte_stream_hex", el_sql("skewed") + f", h AS (SELECT gid, lane, string_agg(CASE WHEN len <= 4 THEN repeat('00', CAST(len - 1 AS INTEGER)) || printf('%02x', code) ELSE {_LIT} END, '' ORDER BY slot) AS h FROM ma GROUP BY gid, lane) SELECT gid, lane, rpad(h, CAST((length(h) + 15) // 16 * 16 AS INTEGER), 'f') AS hex FROM h")
 def byte_stream_hex(s, d):
-    rows = B.encode_lanes(groups(s, d, "skewed"), 2)
-    return rows.selectExpr("gid", "lane", "array_join(transform(bytes, b -> lpad(lower(hex(b)), 2, '0')), '') AS hex")
+    return B.lane_hex(groups(s, d, "skewed"), 2)
 
 
 @query("byte_stream_offsets", el_sql("u32") + ", b AS (SELECT gid, lane, (CAST(sum(CASE WHEN len <= 8 THEN len ELSE 5 END) AS BIGINT) + 7) // 8 * 8 AS n_bytes FROM ma GROUP BY gid, lane) SELECT gid * 32 + lane AS thread, n_bytes, CAST(coalesce(sum(n_bytes) OVER (ORDER BY gid, lane ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM b")

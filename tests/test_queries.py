@@ -65,6 +65,6 @@ def wide(tmp_path_factory):
     return sf, con
 
 
-@pytest.mark.parametrize("name", ["byte_stream_roundtrip_skewed", "byte_stream_length_skewed"])
+@pytest.mark.parametrize("name", ["byte_stream_roundtrip_skewed", "byte_stream_length_skewed", "byte_stream_hex"])
 def test_values_wider_than_their_column(spark, wide, name):
     assert check(QUERIES[name](spark, wide[0]), wide[1], SQL[name]) > 0
