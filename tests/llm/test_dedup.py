@@ -320,6 +320,26 @@ def test_repeated_windows_shifts():
             assert later.tolist() == [i < max(seen[a[i : i + length]]) for i in starts]
 
 
+def test_repeat_report_gives_what_is_left(spark):
+    rows, rng = made_up(3), random.Random(2)
+    tail = "".join(rng.choice("pqrst ") for _ in range(420))
+    rows += [(70, "Aé" + tail), (71, "Bĩ" + tail)]  # the last bytes of é and ĩ are the same: both are cut inside
+    texts = [(t or "").encode() for _, t in rows]
+    seen = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    want = {}
+    for (d, _), t in zip(rows, texts, strict=True):
+        gone = bytearray(len(t))
+        for i in range(len(t) - 399):
+            if seen[t[i : i + 400]] > 1:
+                gone[i : i + 400] = b"\1" * 400
+        want[d] = bytes(c for c, g in zip(t, gone, strict=True) if not g)
+    got = suffix_dedup.repeat_report(frame(spark, rows))
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    assert {r.doc_id: r.text for r in got.collect()} == {d: t.decode("utf-8", "ignore") for d, t in want.items()}
+    assert want[0] == b"" and any(0 < len(want[d]) < len(t) for (d, _), t in zip(rows, texts, strict=True))
+    assert (want[70], want[71]) == (b"A\xc3", b"B\xc4")
+
+
 def test_repeats_rows_and_columns(spark):
     t = "".join(random.Random(9).choice("abcdé ") for _ in range(700))
     rows = [(1, t), (1, t), (None, "A" + t), (2, "clean"), (3, None)]
