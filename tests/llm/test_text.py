@@ -185,6 +185,35 @@ def test_lattices_of_long_units_and_of_any_company():
         assert [(g[0].tolist(), *g[1:]) for g in got] == [(a[0].tolist(), *a[1:]) for a in alone]
 
 
+def test_branches_that_cannot_lead_are_not_drawn(monkeypatch):
+    rng, drawn, uniform = random.Random(6), [], piece_sampling._uniform
+    text = " ".join(rng.choice(["then", "the", "quick", "brown", "fox,"]) for _ in range(3000))
+    monkeypatch.setattr(piece_sampling, "_uniform", lambda key: drawn.append(len(key)) or uniform(key))
+    lazy = piece_sampling.Sampler(PIECES, 30)(3, text)
+    assert sum(drawn) < 30 * len(lazy[0][0]) / 4
+    monkeypatch.setattr(piece_sampling, "MOST_GUMBEL", math.inf)
+    monkeypatch.setattr(piece_sampling, "NEAR", math.inf)
+    whole = piece_sampling.Sampler(PIECES, 30)(3, text)
+    assert [(x[0].tolist(), *x[1:]) for x in lazy] == [(x[0].tolist(), *x[1:]) for x in whole]
+    assert sum(drawn) > 30 * len(lazy[0][0])
+    monkeypatch.setattr(piece_sampling, "_hash", lambda key: np.full(len(key), 2**64 - 1, np.uint64))
+    assert uniform(np.zeros(2))[0] < 1
+
+
+def test_units_of_plain_and_odd_texts():
+    texts = ["a b a", None, "", " lead", "tail ", "a  b", "x▁y z", " ", "a\nb c\td", "é 😀", "a b"]
+    for some in (texts, ["a b", "b c"], [None, ""], [*texts, "half \ud800 pair"]):
+        number, size, types = piece_sampling.Sampler._units(some)
+        own = iter(np.split(number, np.cumsum(size)[:-1]))
+        assert len(set(types)) == len(types) and sum(size) == len(number)
+        for t in some:
+            want = piece_sampling._UNIT.findall("▁" + t.replace(" ", "▁")) if t else []
+            assert [types[i] for i in next(own).tolist()] == want
+    pieces = piece_sampling.vocabulary(PIECES)
+    ids = piece_sampling.Sampler(PIECES)(1, "é 😀 ok")[0][0]
+    assert pieces.gives(ids, "é 😀 ok") and not pieces.gives(ids, "é 😀 o") and pieces.gives(ids[:0], "")
+
+
 def test_samples_are_distinct_and_decode(spark):
     df = frame(spark, [*ODD, (20, "ab"), (21, "The  quick brown\nfox — ok")])
     rows = piece_sampling.sample_segmentations(df, PIECES, k=4)
