@@ -74,6 +74,25 @@ def test_packing_encoder_is_the_tokenizer():
         assert [np.frombuffer(x, "<u4").tolist() for x in few.many(texts[o : o + 100])] == want[o : o + 100]
 
 
+def test_packing_keeps_the_words_used_most():
+    enc, tok = packing.Encoder(BPE), Tokenizer.from_file(BPE)
+    enc.many(["x alpha beta gamma, gamma."])
+    for _ in range(5):
+        enc.many(["x delta epsilon,"])
+    enc.keep(5)
+    assert {"delta", "epsilon,"} <= set(enc.slots) and not {"alpha", "beta", "gamma,"} & set(enc.slots) and len(enc.start) == 5
+    for t in ("x delta epsilon, alpha gamma, gamma.", "epsilon, x"):
+        assert np.frombuffer(enc(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_words_of_letters_go_to_the_merges():
+    enc, tok, rng = packing.Encoder(BPE), Tokenizer.from_file(BPE), random.Random(3)
+    assert enc.merges
+    words = ["".join(rng.choice(packing.LETTERS) for _ in range(rng.randint(1, 12))) for _ in range(3000)] + packing.LETTERS
+    text = "x " + " ".join(w + rng.choice(["", "", ",", "×", "ª", "1"]) for w in words)
+    assert np.frombuffer(enc(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_in_a_tree_of_workers(spark, monkeypatch):
     monkeypatch.setattr(packing, "FAN_IN", 2)
     rng = random.Random(4)
